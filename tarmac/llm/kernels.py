@@ -64,11 +64,16 @@ def value_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words (runs without white space, within a row), and each row's first word."""
+#: Bytes that are neither ASCII letters and digits nor part of a longer character.
+NOT_ALPHANUMERIC = np.ones(256, bool)
+NOT_ALPHANUMERIC[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without separators, within a row), and each row's first word."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    space = IS_SPACE[data]
+    space = separators[data]
     edge = np.ones(len(data) + 1, bool)
     edge[1:-1] = space[:-1]
     edge[offsets] = True
