@@ -79,7 +79,7 @@ def near_links(embeddings: DataFrame, least_cosine: float = 0.98, id_col: str =
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     valid = rows.where(sound)
-    digest = [F.xxhash64("v").alias("d1"), F.xxhash64("v", F.lit(1)).alias("d2")]
+    digest = [F.xxhash64("v").alias("d1"), F.xxhash64(F.lit(1), "v").alias("d2")]
     classes = written(valid.groupBy("label", *digest).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v")), "classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
     size = 8.0 * max(largest or 1, 512)
