@@ -246,7 +246,7 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def digests(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
+def digests(batch: pa.RecordBatch, path: str, keep_ids: bool = False) -> pa.RecordBatch:
     c, texts = codec(path), batch.column("text").to_pylist()
     ids, at = c.encode(texts)
     data = c.decode(ids)
@@ -255,17 +255,21 @@ def digests(batch: pa.RecordBatch, path: str) -> pa.RecordBatch:
     sha = lambda x: hashlib.sha256(x).hexdigest()
     spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
     decoded = [data[s:e].tobytes().decode("utf-8", "replace").encode() for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array([sha(little[s:e].tobytes()) for s, e in spans]), pa.array(list(map(sha, decoded)))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    columns = [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(at)), pa.array([sha(little[s:e].tobytes()) for s, e in spans]), pa.array(list(map(sha, decoded)))]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    if keep_ids:
+        columns, names = [*columns, K.list_column(ids.astype(np.int32), at)], [*names, "ids"]
+    return pa.RecordBatch.from_arrays(columns, names)
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, and the digests of the ids and of the text decoded from them."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, the digests of the ids and of the text decoded from them, and with keep_ids the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, limit=2 * STEP_BYTES):
-            yield digests(batch, path)
+            yield digests(batch, path, keep_ids)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA + ", ids array<int>" * keep_ids)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
