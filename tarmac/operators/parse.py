@@ -26,12 +26,18 @@ def field(variant: str, kind: str) -> Column:
     return F.when(F.col(variant).isNotNull(), value)
 
 
+def once(rows: DataFrame, kept: list[str], made: list[Column]) -> DataFrame:
+    """kept and made columns. The explode of one struct keeps the planner from copying made expressions into each of their
+    later uses, which would outgrow what Spark can compile."""
+    return rows.select(*kept, F.explode(F.array(F.struct(*made))).alias("__s")).select(*kept, "__s.*")
+
+
 def parsed(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Every record with its ping fields and outcome: ok, parse_error (no JSON), or invalid (a field is absent, an id is
     empty or the time isn't positive). Nothing fails the job."""
     read = raw.withColumn("v", F.expr(f"try_parse_json({value_col})"))
-    apart = read.select(*raw.columns, "v", *(F.expr(f"try_variant_get(v, '$.{name}', 'variant')").alias(f"__{column}") for name, column, _ in FIELDS))
-    fields = apart.select(*raw.columns, "v", *(field(f"__{column}", kind).alias(column) for _, column, kind in FIELDS))
+    apart = once(read, [*raw.columns, "v"], [F.expr(f"try_variant_get(v, '$.{name}', 'variant')").alias(f"__{column}") for name, column, _ in FIELDS])
+    fields = once(apart, [*raw.columns, "v"], [field(f"__{column}", kind).alias(column) for _, column, kind in FIELDS])
     whole = F.lit(True)
     for _, column, _ in FIELDS:
         whole = whole & F.col(column).isNotNull()

@@ -19,7 +19,7 @@ from tarmac.sources import pings as sources
 HOURS_3 = 3 * 3_600_000
 RULES = fsm.Rules(hold_ms=HOURS_3)
 #: The injected now and its window; a lower bound in time; a least severity; a segment.
-NOW_MS, MINUTES, SINCE_MS, LEAST, SEGMENT = 1_706_400_000_000, 1440, 1_706_000_000_000, 2.0, "click"
+NOW_MS, MINUTES, SINCE_MS, LEAST, SEGMENT, SELECTED = 1_706_400_000_000, 1440, 1_706_000_000_000, 2.0, "click", "view"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +214,7 @@ def q_current_by_severity(s, d):
 
 
 def q_selected_segment_speed(s, d):
-    return dashboard.selected_segment(views.current_view(current(s, d)), SEGMENT)
+    return dashboard.selected_segment(views.current_view(current(s, d)), SELECTED)
 
 
 def q_segment_union(s, d):
@@ -376,7 +376,7 @@ def oracle_sql() -> dict[str, str]:
   QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY status = 'closed' DESC, {SORT} DESC, severity DESC, ingested_at DESC) = 1""",
         "recent_history_50": f"{distinct_sql(5000)} SELECT incident_id, status, {SORT} AS sort_ms FROM merged_rows ORDER BY sort_ms DESC, incident_id LIMIT 50",
         "current_by_severity": f"{HISTORY} SELECT incident_id, severity, CASE WHEN severity >= 7 THEN 'high' WHEN severity >= 4 THEN 'mid' ELSE 'low' END AS badge FROM current",
-        "selected_segment_speed": f"{HISTORY} SELECT segment_id, current_speed_mph, baseline_speed_mph FROM ({current_sql()}) WHERE segment_id = '{SEGMENT}' ORDER BY updated_at DESC, incident_id LIMIT 1",
+        "selected_segment_speed": f"{HISTORY} SELECT segment_id, current_speed_mph, baseline_speed_mph FROM ({current_sql()}) WHERE segment_id = '{SELECTED}' ORDER BY updated_at DESC, incident_id LIMIT 1",
         "segment_union": f"{HISTORY} SELECT segment_id FROM current UNION SELECT segment_id FROM history",
         "status_normalize": """SELECT event_id, CASE WHEN event_id % 6 IN (0, 1) THEN 'closed' ELSE 'open' END AS status,
   CASE event_id % 6 WHEN 0 THEN 'closed' WHEN 1 THEN ' Closed ' WHEN 2 THEN 'open' WHEN 3 THEN '' WHEN 4 THEN 'OTHER' END AS sink_status FROM events""",
