@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,7 +35,6 @@ def round1(x: Column | str) -> Column:
 
 def python_round1(x: Column | str) -> Column:
     """One decimal as Python rounds the binary value; an Arrow function, for parity only."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def rounded(s: pd.Series) -> pd.Series:
