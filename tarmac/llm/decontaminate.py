@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import by_bytes, id_text, written
 
-#: Words of a seed; share and least number of an item's seeds that are kept, the rarest first.
+#: Words of a seed. Of an item's seeds those are rare that no more documents hold than COMMON_TIMES the seed at its lower
+#: quartile, and COMMON_MORE; the KEPT_LEAST rarest are kept anyway. (A fixed share of the rarest would keep just those that
+#: edited copies lack.)
 SEED_WORDS = 4
-KEPT_SHARE, KEPT_LEAST = 0.5, 12
+COMMON_TIMES, COMMON_MORE, KEPT_LEAST = 4, 16, 12
 #: Alignment: a match, a mismatch or gap; the item words that make a whole copy, and the score that counts as one.
 MATCH, MISS = 2, -1
 WHOLE_WORDS = 32
@@ -79,7 +81,9 @@ class Items:
         per_item = np.bincount(self.item, minlength=len(self.ids))
         rank = np.arange(len(order)) - np.repeat(np.cumsum(per_item) - per_item, per_item)
         some = np.zeros(len(order), bool)
-        some[order] = rank < np.maximum(np.ceil(KEPT_SHARE * per_item), KEPT_LEAST).repeat(per_item)
+        begin = np.cumsum(per_item) - per_item
+        quartile = seen[order][np.minimum(begin + per_item // 4, max(len(order) - 1, 0))] if len(order) else np.zeros(len(per_item))
+        some[order] = (rank < KEPT_LEAST) | (seen[order] <= (COMMON_TIMES * quartile + COMMON_MORE).repeat(per_item))
         out = object.__new__(Items)
         out.ids, out.words, out.first = self.ids, self.words, self.first
         out.seeds, out.at, out.item = self.seeds[some], self.at[some], self.item[some]
