@@ -14,10 +14,12 @@ VEHICLES = 50
 START_BOX = ((47.61, 0.02), (-122.33, 0.03))
 
 
-def json_lines(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int = 1) -> DataFrame:
-    """Raw records as value STRING, one a line; as a stream, so many new files a batch."""
+def json_lines(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
+    """Raw records as value STRING, one a line; as a stream, so many new files a batch. Without a number a batch takes all
+    new files, which keeps together what one batch of an earlier job wrote: its files are in no order of event time."""
     if stream:
-        return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+        reader = spark.readStream if files_per_trigger is None else spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
+        return reader.text(path)
     return spark.read.text(path)
 
 
