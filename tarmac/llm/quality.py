@@ -122,6 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # At most sample_rows ids and labels: a proven bound for the broadcast.
     rows = id_text(docs, id_col, text_col).join(F.broadcast(few), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label long, x array<double>")
     got = {r["doc_id"]: (r["label"], r["x"]) for r in rows.dropDuplicates(["doc_id"]).collect()}
+    if not got:
+        return fit(np.zeros((0, 1)), np.zeros(0, bool))
     order = sorted(got)
     return fit(np.array([got[i][1] for i in order]).reshape(len(order), -1), np.array([got[i][0] == 1 for i in order], bool))
 
