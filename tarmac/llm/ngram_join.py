@@ -12,9 +12,12 @@ partner then is too. No pair is lost.
 
 Verification: candidate pairs meet fragment by fragment, partial overlaps are counted there and summed per pair.
 
-Groups: what is asked for is components, so a file of m sets is first compared with its smallest member only; further
-members serve as hubs in growing rounds, only against sets of the file that no links connect with them yet, until each
-file is one component or all its pairs are decided. Equal sets are one class from the start.
+Groups: what is asked for is components, so the sets of a file are first compared with its smallest member only, its hub.
+That finds each member's difference from the hub, too. Two members differ by what their differences don't share; if no
+links connect them yet, they can only be linked if their differences share at least a number of n-grams that their sizes
+give. Differences are joined by a prefix filter that takes what the hub lacks first: independent edits of one text, however
+many, hence make no pairs, and no pair is lost, as linked sets share a file and with it a hub. Equal sets are one class from
+the start.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. Rows of a null id keep a null
 component. Rows of equal id count as one document. Further columns are left alone.
@@ -28,7 +31,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import kernels as K
 from .common import by_bytes, id_text, written
@@ -36,6 +38,9 @@ from .components import components
 
 #: Fragments of the order in which partial overlaps are counted, as a power of two.
 FRAGMENT_BITS = 2
+#: Bits of a signature that hold its level; the last one is that of crowded sets.
+LEVEL_BITS = 6
+CROWDED = (1 << LEVEL_BITS) - 1
 #: Digests of sets that a task remembers, so that it files each of its equal sets once.
 KNOWN_SETS = 200_000
 
@@ -78,11 +83,13 @@ class Rule:
         return n - self.smallest_partner(n) + 1
 
 
-def signatures(value: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of everything that the rows' sets are filed under."""
+def signatures(value: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature) of everything that the rows' sets are filed under, and (row, level, least): how many of a row's files
+    at a level a linked partner shares at least. A signature's lowest bits are its level."""
     size = np.diff(offsets)
     low, high = rule.level(rule.smallest_partner(size)), rule.level(size)
-    rows, found = [], []
+    rows, found, needs = [], [], []
+    tag = K.U((1 << LEVEL_BITS) - 1)
     for level in range(int(low.min(initial=0)), int(high.max(initial=-1)) + 1):
         own = np.flatnonzero((low <= level) & (level <= high) & (size > 0))
         if not len(own):
@@ -94,18 +101,25 @@ def signatures(value: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.n
         fresh[1:] = (r[1:] != r[:-1]) | (part[1:] != part[:-1])
         at = np.flatnonzero(fresh)
         rows.append(r[at])
-        found.append(K.mix(np.add.reduceat(K.mix(v + K.U(1)), at) + K.mix(part[at] + K.U((level + 1) << 56))))
+        hashed = K.mix(np.add.reduceat(K.mix(v + K.U(1)), at) + K.mix(part[at] + K.U((level + 1) << 56)))
+        found.append(hashed & ~tag | K.U(level))
         filled = np.bincount(r[at], minlength=len(size))[own]
-        crowded = own[filled <= rule.differences(np.minimum(size[own], rule.largest_at(level)))]
+        least = filled - rule.differences(np.minimum(size[own], rule.largest_at(level)))
+        needs.append(np.column_stack([own, np.full(len(own), level), np.maximum(least, 1)]))
+        crowded = own[least <= 0]
         if len(crowded):
             n = rule.prefix(size[crowded])
             rows.append(np.repeat(crowded, n))
-            found.append(K.mix(K.gather(value, offsets[:-1][crowded], n) + K.U(0xF1E2)))
-    return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, K.U))
+            found.append(K.mix(K.gather(value, offsets[:-1][crowded], n) + K.U(0xF1E2)) | tag)
+            needs.append(np.column_stack([crowded, np.full(len(crowded), CROWDED), np.ones(len(crowded), np.int64)]))
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, K.U), np.zeros((0, 3), np.int64)
+    return np.concatenate(rows), np.concatenate(found), np.unique(np.concatenate(needs), axis=0)
 
 
 def filed(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
-    """(doc_id, size, d1, d2, files): digests of the set, and its signatures; null for a set equal to one the task has filed."""
+    """(doc_id, size, d1, d2, files, needs): digests of the set, its signatures, and (level * 2 ** 32 + least) of each level;
+    files and needs are empty for a set equal to one the task has filed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set = set()
@@ -122,38 +136,54 @@ def filed(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
                         known.add(key)
             kept = np.where(alone, size, 0)
             where = np.concatenate([[0], np.cumsum(kept)])
-            row, signature = signatures(K.gather(value, offsets[:-1], kept), where, rule)
+            row, signature, needs = signatures(K.gather(value, offsets[:-1], kept), where, rule)
             order = np.argsort(row, kind="stable")
             at = np.searchsorted(row[order], np.arange(len(size) + 1))
             files = K.list_column(signature[order].view(np.int64), at)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size), *(pa.array(d.view(np.int64)) for d in digests), files], ["doc_id", "size", "d1", "d2", "files"])
+            least = K.list_column(needs[:, 1] << 32 | needs[:, 2], np.searchsorted(needs[:, 0], np.arange(len(size) + 1)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size), *(pa.array(d.view(np.int64)) for d in digests), files, least], ["doc_id", "size", "d1", "d2", "files", "needs"])
 
-    return written(docs.mapInArrow(run, "doc_id long, size long, d1 long, d2 long, files array<long>"), "filed")
+    return written(docs.mapInArrow(run, "doc_id long, size long, d1 long, d2 long, files array<long>, needs array<long>"), "filed")
 
 
 def fragments(docs: DataFrame, n: int) -> DataFrame:
-    """(doc, fragment, grams): the sets of docs(doc_id, text), cut along the order."""
+    """(doc, fragment, grams): the sets of docs(doc_id, text), cut along the order; empty fragments included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             value, offsets = sets(batch.column("text"), n)
             row = K.rows_of(offsets)
             part = row << FRAGMENT_BITS | (value >> K.U(64 - FRAGMENT_BITS)).astype(np.int64)
-            found, at = np.unique(part, return_index=True)
-            grams = K.list_column(value.view(np.int64), np.append(at, len(value)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(pa.array(found >> FRAGMENT_BITS)), pa.array((found & ((1 << FRAGMENT_BITS) - 1)).astype(np.int32)), grams], ["doc", "fragment", "grams"])
+            every = np.arange(batch.num_rows << FRAGMENT_BITS)
+            at = np.searchsorted(part, np.append(every, len(every)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(pa.array(every >> FRAGMENT_BITS)), pa.array((every & ((1 << FRAGMENT_BITS) - 1)).astype(np.int32)), K.list_column(value.view(np.int64), at)], ["doc", "fragment", "grams"])
 
     return docs.mapInArrow(run, "doc long, fragment int, grams array<long>")
 
 
+def met(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) fragment by fragment, with both sides' n-grams there."""
+    left, right = (parts.select(F.col("doc").alias(x), "fragment", F.col("grams").alias(f"g{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, ["b", "fragment"])
+
+
 def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, na, nb) that reach the similarity: partial overlaps of each fragment, summed."""
-    left, right = (parts.select(F.col("doc").alias(x), "fragment", F.col("grams").alias(f"g{x}")) for x in "ab")
-    met = pairs.join(left, "a").join(right, ["b", "fragment"])
-    total = met.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common")).groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    partial = met(pairs, parts).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("common"))
+    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
     return total.where(f"100 * common >= {percent} * (na + nb - common)").select("a", "b")
 
 
+def differences(stars: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb, link, size, first) of each star (a: hub, b: member): whether they are linked, the size of their
+    difference, and as many of its n-grams as a partner can ask for: those that the hub lacks, then those that b lacks."""
+    partial = met(stars, parts).select("a", "b", "na", "nb", F.array_except("gb", "ga").alias("own"), F.array_except("ga", "gb").alias("lost"))
+    whole = partial.groupBy("a", "b", "na", "nb").agg(F.flatten(F.collect_list("own")).alias("own"), F.flatten(F.collect_list("lost")).alias("lost"))
+    most = F.expr(f"(nb + 100 * nb div {percent}) * {100 - percent} div {100 + percent} + 1").cast("int")
+    first = F.slice(F.concat(F.array_sort("own"), F.array_sort("lost")), F.lit(1), most)
+    return whole.select("a", "b", "na", "nb", F.expr(f"100 * (nb - size(own)) >= {percent} * (na + size(own))").alias("link"), (F.size("own") + F.size("lost")).alias("size"), first.alias("first"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) of every row of docs."""
     own, rule = id_text(docs, id_col, text_col), Rule(percent)
@@ -161,40 +191,39 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     key = ["size", "d1", "d2"]
     classes = written(marks.where("size > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "set-classes")
     rows = marks.where("doc_id is not null and files is not null").select("doc_id", F.explode("files").alias("file"))
-    shared = written(rows.groupBy("file").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("file"), "shared-files")
+    shared = written(rows.groupBy("file").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("file"), "shared-files", release=True)
     reps = written(marks.where("size > 0").join(classes, key).select("doc_id", "rep", F.col("size").alias("n")).distinct(), "set-reps")
-    members = written(rows.join(shared, "file").join(reps, "doc_id").select("file", "rep", "n").distinct(), "members")
+    members = written(rows.join(shared, "file").join(reps, "doc_id").select("file", "rep", "n").distinct(), "members", release=True)
+    # A linked partner shares at least so many files of a level; members that share fewer with all others have none.
+    needs = marks.where("size > 0").select(*key, F.explode("needs").alias("need")).join(classes, key).select("rep", F.expr("cast(shiftright(need, 32) as int)").alias("level"), F.expr(f"need & {(1 << 32) - 1}").alias("least")).distinct()
+    level = F.expr(f"cast(file & {CROWDED} as int)").alias("level")
+    enough = members.select("rep", level).groupBy("rep", "level").agg(F.count("*").alias("shared")).join(needs, ["rep", "level"]).where("shared >= least").select("rep", "level")
+    members = members.select("*", level).join(written(enough, "enough"), ["rep", "level"]).select("file", "rep", "n")
+    members = written(members, "members")
     hubs = written(members.groupBy("file").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("file", "hub"), "hubs")
-    members = written(members.join(hubs.select("file"), "file"), "members")
-    sought = written(members.select(F.col("rep").alias("doc_id")).distinct(), "sought")
-    parts = written(fragments(own.join(sought, "doc_id").select("doc_id", "text"), n), "fragments")
-
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    pairs = written(members.join(hubs, "file").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct(), "stars")
     sizes = classes.select(F.col("rep").alias("a"), F.col("size").alias("na"))
-    tested = written(pairs.join(sizes, "a").where(fits).select("a", "b", "na", "nb"), "pairs")
-    links = written(linked(tested, parts, percent), "links")
+    stars = members.join(hubs, "file").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
+    stars = written(stars.join(sizes, "a").select("a", "b", "na", "nb").distinct(), "stars")
+    sought = written(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), "sought")
+    parts = written(fragments(own.join(sought, "doc_id").select("doc_id", "text"), n), "fragments", release=True)
+    apart = written(differences(stars, parts, percent), "differences", release=True)
+    links = apart.where("link").select("a", "b")
     found = written(components(links), "components")
-    done, width = 0, 8
-    while True:
-        labelled = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("file", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        labelled = written(labelled, "labelled")
-        open_files = labelled.groupBy("file").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where(f"x < y and m > {done}").select("file")
-        members = written(labelled.join(open_files, "file"), "open")
-        if members.isEmpty():
-            break
-        ranked = written(members.withColumn("rank", F.row_number().over(Window.partitionBy("file").orderBy("n", "rep")) - 1), "ranked")
-        hub = ranked.where(f"rank >= {done} and rank < {done + width}").select("file", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("rank").alias("ra"))
-        pairs = ranked.select("file", F.col("rep").alias("b"), F.col("n").alias("nb"), "component", "rank").join(hub, "file").where(f"rank > ra and component <> ca and {fits}")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-        fresh = written(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        more = written(linked(fresh, parts, percent), "links")
-        tested = tested.union(fresh.select(tested.columns))
-        if not more.isEmpty():
-            links = links.union(more)
-            found = written(components(links), "components")
-        members = members.select("file", "rep", "n")
-        done, width = done + width, width * 8
+
+    # Members of a hub that no links connect yet: their differences from it, joined.
+    named = found.withColumnRenamed("id", "b").withColumnRenamed("component", "cb")
+    owned = apart.join(named, "b", "left").select(F.col("a").alias("hub"), "b", F.col("nb").alias("n"), "size", F.coalesce("cb", "b").alias("c"), "first")
+    owned = written(owned, "owned")
+    split = written(owned.groupBy("hub").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("hub"), "split-hubs")
+    listed = written(owned.join(split, "hub").select("hub", "b", "n", "size", "c", F.posexplode("first").alias("at", "gram")), "difference-grams")
+    x, y = (listed.select("hub", "gram", *(F.col(c).alias(f"{c}_{s}") for c in ("b", "n", "size", "c", "at"))) for s in "xy")
+    share = f"greatest(1, (size_x + size_y - (n_x + n_y) * {100 - percent} div {100 + percent} + 1) div 2)"
+    fits = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+    pairs = x.join(y, (x["hub"] == y["hub"]) & (x["gram"] == y["gram"]) & F.expr(f"b_x < b_y and c_x <> c_y and {fits} and at_x <= size_x - {share} and at_y <= size_y - {share}"))
+    pairs = written(pairs.select(F.col("b_x").alias("a"), F.col("b_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb")).distinct(), "pairs")
+    more = written(linked(pairs, parts, percent), "links")
+    if not more.isEmpty():
+        found = written(components(links.union(more)), "components")
 
     named = written(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component")), "named")
     out = marks.select("doc_id", *key).join(named, key, "left")

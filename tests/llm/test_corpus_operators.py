@@ -91,8 +91,10 @@ def test_linked_sets_share_a_file(percent):
                 break
             y = z
         y = np.sort(np.array(list(y), np.uint64))
-        row, found = ngram_join.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), rule)
-        assert set(found[row == 0].tolist()) & set(found[row == 1].tolist())
+        row, found, needs = ngram_join.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), rule)
+        shared = collections.Counter(f & ngram_join.CROWDED for f in set(found[row == 0].tolist()) & set(found[row == 1].tolist()))
+        least = [{level: k for r, level, k in needs.tolist() if r == side} for side in (0, 1)]
+        assert any(all(n >= need.get(level, 1 << 30) for need in least) for level, n in shared.items())
 
 
 def test_jaccard_odd_tables(spark):
