@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,11 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and lost executors take nothing along."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, and lost executors take nothing along.
+
+    release: exchanges of earlier steps are of no more use; the driver's garbage collection, which lets Spark delete their
+    files, is asked for at once and not left to chance.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if release:  # before the write: the caller holds df's own plan until it returns
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def id_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

@@ -70,46 +70,53 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, grams[at]
 
 
+def firsts(batch: pa.RecordBatch, known: set) -> pa.RecordBatch:
+    """The rows whose text the task hasn't met; known: the texts it has, up to KNOWN_TEXTS."""
+    keep = []
+    for key in zip(batch.column("u1").to_pylist(), batch.column("u2").to_pylist(), strict=True):
+        keep.append(key not in known)
+        if len(known) < KNOWN_TEXTS:
+            known.add(key)
+    return batch.filter(pa.array(keep, pa.bool_()))
+
+
 def anchored(docs: DataFrame) -> DataFrame:
-    """(doc_id, u1, u2, gram, at) of every anchor of docs(doc_id, text, u1, u2); of equal texts in a task the first stands for all."""
+    """(u1, u2, gram, at) of every anchor of docs(doc_id, text, u1, u2); of equal texts in a task the first stands for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set = set()
         for batch in by_bytes(batches):
-            keep = []
-            for key in zip(batch.column("u1").to_pylist(), batch.column("u2").to_pylist(), strict=True):
-                keep.append(key not in known)
-                if len(known) < KNOWN_TEXTS:
-                    known.add(key)
-            batch = batch.filter(pa.array(keep, pa.bool_()))
+            batch = firsts(batch, known)
             data, offsets = K.buffer(pa.concat_arrays([batch.column("text")]))
             place, gram = anchors(data, offsets)
             row = np.searchsorted(offsets, place, "right") - 1
-            own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "u1", "u2")]
-            yield pa.RecordBatch.from_arrays([own[0].cast(pa.int64()), *own[1:], pa.array(gram.view(np.int64)), pa.array((place - offsets[row]).astype(np.int64))], ["doc_id", "u1", "u2", "gram", "at"])
+            own = [batch.column(c).take(pa.array(row)) for c in ("u1", "u2")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(gram.view(np.int64)), pa.array((place - offsets[row]).astype(np.int32))], ["u1", "u2", "gram", "at"])
 
-    return docs.mapInArrow(run, "doc_id long, u1 long, u2 long, gram long, at long")
+    return docs.mapInArrow(run, "u1 long, u2 long, gram long, at int")
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text, u1, u2) with the text compressed, for exchanges."""
+    """(u1, u2, packed): the compressed texts of docs(doc_id, text, u1, u2), for exchanges; of equal ones in a task the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
 
-        pack = zstd.ZstdCompressor(level=3).compress
+        pack, known = zstd.ZstdCompressor(level=3).compress, set()
         for batch in by_bytes(batches):
+            batch = firsts(batch, known)
             texts = [pack(x.as_buffer()) for x in batch.column("text").cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("u1"), batch.column("u2"), pa.array(texts, pa.binary())], ["doc_id", "u1", "u2", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("u1"), batch.column("u2"), pa.array(texts, pa.binary())], ["u1", "u2", "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, u1 long, u2 long, packed binary")
+    return docs.mapInArrow(run, "u1 long, u2 long, packed binary")
 
 
-CONTEXT = "u1 long, u2 long, at long, gram long, before int, w0 long, w1 long, w2 long, c1 long, c2 long, context binary"
+CONTEXT = "u1 long, u2 long, at long, gram long, before int, lead long, c1 long, c2 long, context binary"
 
 
 def contexts(held: DataFrame) -> DataFrame:
-    """CONTEXT of each place in held(u1, u2, packed, places): what lies around it, as far as a window may reach."""
+    """CONTEXT of each place in held(u1, u2, packed, places): the gram's leading bytes, and what lies before and after the
+    gram as far as a window may reach. The gram itself is the same throughout a run, so its hash stands for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
@@ -120,13 +127,13 @@ def contexts(held: DataFrame) -> DataFrame:
                 text = unpack(z)
                 at = np.unique(np.array([p["at"] for p in places], np.int64))
                 gram = dict((p["at"], p["gram"]) for p in places)
-                around = [text[max(0, p - BEFORE) : p + WINDOW] for p in at.tolist()]
-                lead = np.array([[int.from_bytes(text[p + k : p + k + 8], "big", signed=False) for k in (0, 8, 16)] for p in at.tolist()], np.uint64).reshape(-1, 3) ^ K.U(1 << 63)
+                around = [text[max(0, p - BEFORE) : p] + text[p + GRAM : p + WINDOW] for p in at.tolist()]
+                lead = np.array([int.from_bytes(text[p : p + 8], "big") for p in at.tolist()], np.uint64) ^ K.U(1 << 63)
                 before = np.minimum(at, BEFORE)
                 sums = [hashlib.blake2b(x + bytes([min(p, BEFORE)]), digest_size=16).digest() for x, p in zip(around, at.tolist(), strict=True)]
                 c = np.frombuffer(b"".join(sums), np.int64).reshape(-1, 2)
                 n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array([u1] * n, pa.int64()), pa.array([u2] * n, pa.int64()), pa.array(at), pa.array([gram[p] for p in at.tolist()], pa.int64()), pa.array(before.astype(np.int32)), *(pa.array(lead[:, k].view(np.int64)) for k in range(3)), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array(around, pa.binary())], [x.split()[0] for x in CONTEXT.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([u1] * n, pa.int64()), pa.array([u2] * n, pa.int64()), pa.array(at), pa.array([gram[p] for p in at.tolist()], pa.int64()), pa.array(before.astype(np.int32)), pa.array(lead.view(np.int64)), pa.array(c[:, 0].copy()), pa.array(c[:, 1].copy()), pa.array(around, pa.binary())], [x.split()[0] for x in CONTEXT.split(", ")])
 
     return held.mapInArrow(run, CONTEXT)
 
@@ -153,13 +160,14 @@ def multikey_runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def laid_out(context: list[bytes], before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts as rows with the anchor at BEFORE, and each row's number of bytes from the anchor on."""
+    """Contexts as rows with the anchor at BEFORE and zeros for the gram, and each row's number of bytes from the anchor on."""
     size = np.fromiter(map(len, context), np.int64, len(context))
     out = np.zeros((len(context), BEFORE + WINDOW), np.uint8)
     flat = np.frombuffer(b"".join(context), np.uint8)
-    column = K.gather(np.arange(BEFORE + WINDOW), BEFORE - before, size)
-    out[np.repeat(np.arange(len(context)), size), column] = flat
-    return out, size - before
+    row = np.repeat(np.arange(len(context)), size)
+    column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(BEFORE - before, size)
+    out[row, column + GRAM * (column >= BEFORE)] = flat
+    return out, size - before + GRAM
 
 
 def window_keys(laid: np.ndarray) -> np.ndarray:
@@ -170,14 +178,13 @@ def window_keys(laid: np.ndarray) -> np.ndarray:
     return sums
 
 
-def resolve(context: list[bytes], before: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For distinct contexts with their numbers of occurrences: the least and most bytes before the anchor of a window that
+def resolve(context: list[bytes], before: np.ndarray, count: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For distinct contexts with their numbers of occurrences and their grams' words (leading bytes, hash): the least and most bytes before the anchor of a window that
     occurs again; -1 without one."""
     import pandas as pd
 
     laid, after = laid_out(context, before)
-    grams = np.ascontiguousarray(laid[:, BEFORE : BEFORE + GRAM]).view(">u8")
-    order, run_of = multikey_runs(grams)
+    order, run_of = multikey_runs(words)
     run = np.empty(len(order), np.int64)
     run[order] = run_of
     sums = window_keys(laid)
@@ -199,8 +206,8 @@ def in_buckets(distinct: DataFrame) -> DataFrame:
     """(gram, c1, c2, low, high) of the distinct contexts, sorted in each bucket, runs of equal grams together."""
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        gram, c1, c2, before, count, context = zip(*rows, strict=True)
-        low, high = resolve(list(context), np.array(before, np.int64), np.array(count, np.int64))
+        gram, c1, c2, before, count, context, lead = zip(*rows, strict=True)
+        low, high = resolve(list(context), np.array(before, np.int64), np.array(count, np.int64), np.column_stack([lead, gram]))
         some = high >= 0
         columns = [np.array(x, np.int64)[some] for x in (gram, c1, c2, low, high)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["gram", "c1", "c2", "low", "high"])
@@ -208,7 +215,7 @@ def in_buckets(distinct: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "before", "n", "context")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "before", "n", "context", "lead")), strict=True):
                 if len(rows) >= RUN and row[0] != rows[-1][0]:
                     yield flush(rows)
                     rows = []
@@ -216,7 +223,7 @@ def in_buckets(distinct: DataFrame) -> DataFrame:
         if rows:
             yield flush(rows)
 
-    spread = distinct.repartitionByRange("w0", "w1", "w2", "gram").sortWithinPartitions("w0", "w1", "w2", "gram")
+    spread = distinct.repartitionByRange("lead", "gram").sortWithinPartitions("lead", "gram")
     return spread.mapInArrow(run, "gram long, c1 long, c2 long, low long, high long")
 
 
@@ -271,28 +278,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twins = written(narrow.where(f"n_bytes >= {WINDOW}").groupBy(*key).agg(F.count("*").alias("n")).where("n >= 2").select(*key, F.lit(True).alias("twin")), "twins")
 
     places = anchored(base.where(F.octet_length("text") >= WINDOW))
-    again = written(places.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 2").select("gram"), "grams")
-    wanted = places.join(again, "gram").groupBy("doc_id", *key).agg(F.collect_list(F.struct("at", "gram")).alias("places"))
-    wanted = written(wanted, "places")
-    same = lambda a, b: a["u1"].eqNullSafe(b["u1"]) & a["u2"].eqNullSafe(b["u2"]) & a["doc_id"].eqNullSafe(b["doc_id"])
-    full = packed(base.where(F.octet_length("text") >= WINDOW))
-    held = written(full.join(wanted, same(full, wanted)).select(full["u1"], full["u2"], "packed", "places"), "candidates")
-    found = written(contexts(held), "contexts")
+    again = written(places.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 2").select("gram"), "grams", release=True)
+    wanted = places.join(again, "gram").groupBy(*key).agg(F.collect_set(F.struct("at", "gram")).alias("places"))
+    wanted = written(wanted, "places", release=True)
+    held = written(packed(base.where(F.octet_length("text") >= WINDOW)).join(wanted, key).select(*key, "packed", "places"), "candidates", release=True)
+    found = written(contexts(held), "contexts", release=True)
     around = ["gram", "c1", "c2"]
-    distinct = found.groupBy(*around).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("before", "w0", "w1", "w2", "context")))
-    distinct = written(distinct, "distinct-contexts")
-    runs = distinct.groupBy("gram").agg(F.count("*").alias("m"), F.sum("n").alias("all")).where("all >= 2")
-    sized = written(runs.select("gram", (F.col("m") > RUN).alias("large")), "runs")
-    chosen = distinct.join(sized, "gram")
-    resolved = in_buckets(chosen.where("not large"))
-    if not sized.where("large").isEmpty():
-        resolved = resolved.union(by_counts(written(chosen.where("large").drop("large", "w0", "w1", "w2"), "large-runs")).select("gram", "c1", "c2", "low", "high"))
-    resolved = written(resolved, "resolved")
+    distinct = found.groupBy(*around).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("before", "lead", "context")))
+    distinct = written(distinct, "distinct-contexts", release=True)
+    large = written(distinct.groupBy("gram").agg(F.count("*").alias("m")).where(f"m > {RUN}").select("gram"), "large-grams")
+    if large.isEmpty():
+        resolved = in_buckets(distinct)
+    else:
+        resolved = in_buckets(distinct.join(large, "gram", "left_anti")).union(by_counts(written(distinct.join(large, "gram", "left_semi").drop("lead"), "large-runs")).select("gram", "c1", "c2", "low", "high"))
+    resolved = written(resolved, "resolved", release=True)
     spans = found.select(*key, "at", *around).join(resolved, around).select(*key, F.struct((F.col("at") - F.col("high")).alias("s"), (F.col("at") - F.col("low") + WINDOW).alias("e")).alias("span"))
-    spans = written(spans.groupBy(*key).agg(F.collect_list("span").alias("spans")), "spans")
+    spans = written(spans.groupBy(*key).agg(F.collect_list("span").alias("spans")), "spans", release=True)
     cut = held.join(spans, key).join(twins, key, "left_anti").select(*key, "packed", "spans")
     cut = trimmed(cut).select(*key, "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    cut = written(cut.dropDuplicates(key), "trimmed")
+    cut = written(cut.dropDuplicates(key), "trimmed", release=True)
     out = narrow.join(twins, key, "left").join(cut, key, "left")
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
