@@ -4,10 +4,10 @@ Every byte is covered that lies in a string of WINDOW bytes which also starts el
 anchors only: winnowing picks, in every window, the places whose gram of GRAM bytes hashes lowest, so equal windows hold equal
 anchors at equal places. Grams that occur once are dropped by a count. The suffixes at the others, with the bytes before them
 that a window may reach, are range-partitioned by their leading bytes at sampled splitters; buckets sort them by a multikey
-sort, eight bytes a key, that refines ties only. Within a run of equal grams, windows at each distance before the anchor are
-compared; the farthest and nearest that occur again give the covered stretch, as all of them hold the anchor. Splitters
-compare more than a gram's first bytes, so a run may go over a bucket's boundary only if those are equal: the gram's hash is
-the last splitter key and runs of one hash never part. A run too large for a bucket is decided by counting its windows.
+sort of leading bytes and gram hash that refines ties only. Within a run of equal grams, windows at each distance before the
+anchor are compared by 64-bit hashes; the farthest and nearest that occur again give the covered stretch, as all of them hold
+the anchor. The gram's hash is the last splitter key, so runs never part at a bucket's boundary. A run too large for a bucket
+is decided by counting its windows.
 
 Equal texts are one class: a text with a copy is covered whole, and one of the copies in a task stands for it.
 
