@@ -1,8 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
 
-Words are lower-cased runs of letters and digits. Each benchmark item is sought by its rarest n-grams, by the number of
-documents that hold them; where one occurs in a text, Smith-Waterman alignment scores the item against the words around it,
-so that edited and paraphrased copies count too. The score is the alignment's share of a whole copy's.
+Words are lower-cased runs of letters and digits. Each benchmark item is sought by all its n-grams, common ones too: which
+of them an edited or partial copy keeps is not known beforehand, and those of a copy found often are common by it. Where one
+occurs in a text, Smith-Waterman alignment scores the item against the words around it, so that edited and paraphrased
+copies count too. The score is the alignment's share of a whole copy's. What common n-grams hit by chance is mostly passed
+over unaligned, by a bound that no alignment exceeds: words of the item count as matches, others as misses, wherever they are.
 
 The benchmark is taken in blocks of a fixed size, which bounds what is sent to executors at any size of the benchmark; every
 block is held against all documents. Null and empty texts, and items of fewer words than a seed has, match nothing. Equal
@@ -22,17 +24,16 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import by_bytes, id_text, written
 
-#: Words of a seed. Of an item's seeds those are rare that no more documents hold than COMMON_TIMES the seed at its lower
-#: quartile, and COMMON_MORE; the KEPT_LEAST rarest are kept anyway. (A fixed share of the rarest would keep just those that
-#: edited copies lack.)
+#: Words of a seed.
 SEED_WORDS = 4
-COMMON_TIMES, COMMON_MORE, KEPT_LEAST = 4, 16, 12
 #: Alignment: a match, a mismatch or gap; the item words that make a whole copy, and the score that counts as one.
 MATCH, MISS = 2, -1
 WHOLE_WORDS = 32
 LEAST_SCORE = 0.5
 #: Words of an item that are aligned at once.
 PIECE_WORDS = 512
+#: Hits of seeds that are looked at at once, and words around them; a row's hits, and a window, stay together.
+STEP_HITS, STEP_WORDS = 1 << 19, 1 << 21
 #: Text bytes of the benchmark that are sent to executors at once.
 BLOCK_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, score double, n_matched long, first_byte long, last_byte long"
@@ -72,22 +73,27 @@ class Items:
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.at = seeds[order], at[order]
         self.item = np.searchsorted(self.first, self.at, "right") - 1
-        self.distinct = np.unique(self.seeds)
-
-    def rare(self, counts: np.ndarray) -> Items:
-        """With each item's rarest seeds only; counts: documents that hold each distinct seed."""
-        seen = counts[np.searchsorted(self.distinct, self.seeds)]
-        order = np.lexsort((self.seeds, seen, self.item))
-        per_item = np.bincount(self.item, minlength=len(self.ids))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(per_item) - per_item, per_item)
-        some = np.zeros(len(order), bool)
-        begin = np.cumsum(per_item) - per_item
-        quartile = seen[order][np.minimum(begin + per_item // 4, max(len(order) - 1, 0))] if len(order) else np.zeros(len(per_item))
-        some[order] = (rank < KEPT_LEAST) | (seen[order] <= (COMMON_TIMES * quartile + COMMON_MORE).repeat(per_item))
-        out = object.__new__(Items)
-        out.ids, out.words, out.first = self.ids, self.words, self.first
-        out.seeds, out.at, out.item = self.seeds[some], self.at[some], self.item[some]
-        out.distinct = np.unique(out.seeds)
+        # The words of each item, as one sorted list of (item, word) hashes.
+        self.held = np.unique(self.own(K.rows_of(self.first), self.words))
+
+    @staticmethod
+    def own(item: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return K.mix(words + K.mix(item.astype(K.U) + K.U(1)))
+
+    def bounds(self, item: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each window words[begin:end], none empty, a score that its alignment with the item cannot exceed."""
+        out = np.empty(len(item), np.int64)
+        held = np.append(self.held, K.U(0))
+        n = end - begin
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // STEP_WORDS, prepend=-1))
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(item)], strict=True):
+            key = self.own(np.repeat(item[s:e], n[s:e]), K.gather(words, begin[s:e], n[s:e]))
+            gain = np.where(held[np.searchsorted(self.held, key)] == key, MATCH, MISS)
+            # The best sum of a run: later windows lie lower than earlier ones, so that each has minima of its own.
+            total = np.cumsum(gain)
+            drop = np.repeat(np.arange(e - s) * (2 * MATCH * (len(gain) + 1)), n[s:e])
+            best = total - drop - np.minimum.accumulate(total - gain - drop)
+            out[s:e] = np.maximum.reduceat(best, np.cumsum(n[s:e]) - n[s:e])
         return out
 
     def hits(self, seeds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,35 +131,50 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
     return best, matched, j, last
 
 
-def found(texts: pa.Array, items: Items) -> list[tuple[int, int, float, int, int, int]]:
-    """(row, item, score, matches, first byte, last byte) of each row and item, by the best alignment, from LEAST_SCORE on."""
-    words, first, starts, ends = tokens(texts)
-    at, seed = items.hits(*seed_hashes(words, first))
-    if not len(at):
-        return []
+def aligned(best: dict, at: np.ndarray, seed: np.ndarray, words: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: Items) -> None:
+    """Puts the best alignment of each row and item of these hits into best, from LEAST_SCORE on."""
     row, item = np.searchsorted(first, at, "right") - 1, items.item[seed]
     # Hits on one diagonal, give or take, are one place; windows around it are aligned once.
     shift = at - (items.at[seed] - items.first[item])
     order = np.lexsort((shift, item, row))
     row, item, shift = row[order], item[order], shift[order]
-    slack = np.diff(items.first)[item] // 2 + 2
+    size = np.diff(items.first)[item]
+    slack = size // 2 + 2
     fresh = np.ones(len(row), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > slack[1:])
-    best: dict[tuple[int, int], tuple] = {}
     heads = np.flatnonzero(fresh)
-    for s, e in zip(heads.tolist(), np.append(heads[1:], len(row)).tolist(), strict=True):
-        r, k, pad = int(row[s]), int(item[s]), int(slack[s])
+    tails = np.append(heads[1:], len(row)) - 1
+    row, item, size, slack = row[heads], item[heads], size[heads], slack[heads]
+    begin = np.maximum(first[row], shift[heads] - slack)
+    end = np.minimum(first[row + 1], shift[tails] + size + slack)
+    whole = MATCH * np.minimum(size, WHOLE_WORDS)
+    may = np.flatnonzero(items.bounds(item, words, begin, end) >= LEAST_SCORE * whole)
+    for r, k, a, b, full in zip(*(x[may].tolist() for x in (row, item, begin, end, whole)), strict=True):
         own = items.words[items.first[k] : items.first[k + 1]]
-        a = max(int(first[r]), int(shift[s]) - pad)
-        b = min(int(first[r + 1]), int(shift[e - 1]) + len(own) + pad)
-        whole = MATCH * min(len(own), WHOLE_WORDS)
         if (r, k) in best and best[r, k][0] >= MATCH * len(own):
             continue
         # Many hits near each other make a long window, which is aligned in overlapping parts.
         for c in range(a, max(a + 1, b - 2 * len(own)), 2 * len(own)):
             score, matched, x, y = align(own, words[c : min(b, c + 4 * len(own) + 4)])
-            if score >= LEAST_SCORE * whole and score > best.get((r, k), (0,))[0]:
-                best[r, k] = (score, min(1.0, score / whole), matched, int(starts[c + x]), int(ends[c + y]))
+            if score >= LEAST_SCORE * full and score > best.get((r, k), (0,))[0]:
+                best[r, k] = (score, min(1.0, score / full), matched, int(starts[c + x]), int(ends[c + y]))
+
+
+def found(texts: pa.Array, items: Items) -> list[tuple[int, int, float, int, int, int]]:
+    """(row, item, score, matches, first byte, last byte) of each row and item, by the best alignment, from LEAST_SCORE on."""
+    words, first, starts, ends = tokens(texts)
+    seeds, at = seed_hashes(words, first)
+    n = np.searchsorted(items.seeds, seeds, "right") - np.searchsorted(items.seeds, seeds)
+    seeds, at, n = seeds[n > 0], at[n > 0], n[n > 0]
+    if not len(at):
+        return []
+    best: dict[tuple[int, int], tuple] = {}
+    row = np.searchsorted(first, at, "right") - 1
+    heads = np.flatnonzero(np.diff(row, prepend=-1))
+    step = np.add.reduceat(n, heads).cumsum() // STEP_HITS
+    heads = heads[np.flatnonzero(np.diff(step, prepend=-1))]
+    for s, e in zip(heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True):
+        aligned(best, *items.hits(seeds[s:e], at[s:e]), words, first, starts, ends, items)
     # Of an item's pieces the best one speaks for it.
     top: dict[tuple, tuple] = {}
     for (r, k), v in sorted(best.items()):
@@ -176,36 +197,11 @@ def blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Items
         yield Items(ids, texts)
 
 
-def sought(docs: DataFrame, items: Items) -> Items:
-    """items with their rarest seeds, counted over docs(doc_id, text)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(items.distinct)
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(sent.value) + 1, np.int64)
-        for batch in by_bytes(batches):
-            words, first, _, _ = tokens(batch.column("text"))
-            seeds, at = seed_hashes(words, first)
-            k = np.searchsorted(sent.value, seeds)
-            hit = np.flatnonzero(np.append(sent.value, K.U(0))[k] == seeds)
-            hit = hit[k[hit] < len(sent.value)]
-            row = np.searchsorted(first, at[hit], "right")
-            some = np.unique(row.astype(np.int64) * len(counts) + k[hit])
-            counts += np.bincount(some % len(counts), minlength=len(counts))
-        k = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(counts[k])], ["k", "n"])
-
-    total = np.zeros(len(items.distinct), np.int64)
-    for r in docs.select("text").mapInArrow(counted, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
-        total[r["k"]] = r["n"]
-    return items.rare(total)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score (LEAST_SCORE to 1), n_matched words, and the bytes of the lower-cased text that the alignment spans."""
     own, out = id_text(docs, id_col, text_col), None
     for items in blocks(benchmark, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(sought(own, items))
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(batches):
@@ -223,9 +219,9 @@ SCHEMA_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose text holds no benchmark item."""
-    own, at = id_text(docs, id_col, text_col), docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
     for items in blocks(benchmark, item_col, item_text_col):
-        sent = docs.sparkSession.sparkContext.broadcast(sought(own, items))
+        sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in by_bytes(with_row(batches, at), "__text"):

@@ -220,6 +220,35 @@ def test_contamination(spark):
     assert decontaminate.contaminated(odd(spark, []), bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_copies_found_often(spark):
+    """An edited and a partial copy of an item stay found however many documents hold them."""
+    rng = random.Random(11)
+    items = [prose(rng, 64) for _ in range(2)]
+    edited = items[0].split()
+    for k in (9, 25, 41, 57):
+        edited[k] = "changed"
+    copies = [" ".join(edited), " ".join(items[1].split()[:42])]
+    rows = [(k, f"{prose(rng, 40)} {copies[k % 2]} {prose(rng, 40)}") for k in range(200)]
+    common = " ".join(items[0].split()[:6])
+    rows += [(1000 + k, f"{prose(rng, 100)} {common} {prose(rng, 100)}") for k in range(50)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.contaminated(odd(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k % 2) for k in range(200)}
+    assert {r.doc_id for r in decontaminate.clean(odd(spark, rows), bench).collect()} == {1000 + k for k in range(50)}
+
+
+def test_bounds_of_alignments():
+    """No alignment scores more than the bound by which it is passed over."""
+    rng = np.random.default_rng(12)
+    items = decontaminate.Items([0, 1, 2], [" ".join(f"w{x}" for x in rng.integers(0, 30, n)) for n in (5, 20, 40)])
+    text, _, _, _ = decontaminate.tokens(pa.array([" ".join(f"w{x}" for x in rng.integers(0, 60, 400))], pa.large_string()))
+    begin = rng.integers(0, 399, 300)
+    end, item = np.minimum(400, begin + rng.integers(1, 80, 300)), rng.integers(0, 3, 300)
+    for k, a, b, bound in zip(item, begin, end, items.bounds(item, text, begin, end), strict=True):
+        score = decontaminate.align(items.words[items.first[k] : items.first[k + 1]], text[a:b])[0]
+        assert score <= max(bound, 0) and (bound > 0) == (score > 0)
+
+
 def test_blocks_of_a_large_benchmark(spark, monkeypatch):
     rng = random.Random(7)
     items = [prose(rng, 40) for _ in range(6)]
