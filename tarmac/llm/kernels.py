@@ -98,7 +98,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     total = np.zeros(len(hashes), U)
     for j in range(k):
         step = np.zeros(len(hashes), U)
-        step[: len(hashes) - j] = hashes[j:] if j else hashes
+        step[: max(len(hashes) - j, 0)] = hashes[j:]
         total += np.where(room > j, mix(step + U(j + 1)) * U(2 * j + 3), U(0)) + np.where(room > j, U(0), U(0x51))
     keep = (room >= k) | ((spots == 0) & (room < k))
     return row[keep], mix(total[keep])

@@ -107,6 +107,13 @@ def test_jaccard_odd_tables(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 3, 7, 8] and kept.columns == odd(spark, rows).columns
 
 
+def test_shingles_of_few_words(spark):
+    """A whole step of fewer words than an n-gram has, down to none."""
+    for k in range(6):
+        got = ngram_join.jaccard_components(odd(spark, [(7, prose(random.Random(k), k))]), 5, 80).collect()
+        assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == [(7, min(k, 1), 7)]
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 440)] + [(500, k) for k in range(501, 560)]
