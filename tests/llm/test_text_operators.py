@@ -122,6 +122,39 @@ def test_no_languages(spark):
     assert model == {} and langid.predict(docs, model).first().lang_pred == "und" and langid.accepted(docs, model, 0.0).count() == 0
 
 
+def labelled(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_languages_behind_a_shared_opening(spark):
+    """Texts that all open with the same long header are told apart by what follows it."""
+    import random
+
+    rng = random.Random(3)
+    header = " ".join(f"license{k}" for k in range(200))
+    vocabulary = {lang: ["".join(rng.choices("abcdefghijklm", k=8)) for _ in range(300)] for lang in ("p", "q", "r")}
+    rows = [(k, f"{header} {' '.join(rng.choices(vocabulary[lang], k=600))}", lang) for k, lang in enumerate("pqr" * 40)]
+    model = langid.train(labelled(spark, rows))
+    plain = [(1000 + k, " ".join(rng.choices(vocabulary[lang], k=30)), lang) for k, lang in enumerate("pqr" * 10)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(labelled(spark, plain), model).collect()}
+    assert got == {i: lang for i, _, lang in plain}
+
+
+def test_more_languages_than_a_block(spark):
+    """No language is left out, however many are more frequent."""
+    import hashlib
+
+    def words(k, n):
+        return " ".join(hashlib.md5(f"{k}-{j}".encode()).hexdigest()[:12] for j in range(n))
+
+    rows = [(k, words(k, 30), f"l{k:03}") for k in range(300)] + [(1000 + k, words(k, 30), f"l{k:03}") for k in range(290)]
+    docs = labelled(spark, rows)
+    model = langid.train(docs)
+    assert len(model) == 300
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs.where("doc_id % 1000 in (0, 5, 280, 295, 299)"), model).collect()}
+    assert got == {i: lang for i, _, lang in rows if i % 1000 in (0, 5, 280, 295, 299)}
+
+
 def test_quality_held_out(spark):
     sf_dir = "/root/testdata/sf0.01"
     marked = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
