@@ -205,7 +205,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     stars = members.join(hubs, "file").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
     stars = written(stars.join(sizes, "a").select("a", "b", "na", "nb").distinct(), "stars")
     sought = written(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), "sought")
-    parts = written(fragments(own.join(sought, "doc_id").select("doc_id", "text"), n), "fragments", release=True)
+    # One row for each id, or its overlaps would count twice. Only ids that occur again are gathered for that.
+    twice = written(marks.select("doc_id").join(sought, "doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    once = own.join(sought, "doc_id").select("doc_id", "text")
+    if not twice.isEmpty():
+        once = once.join(twice, "doc_id", "left_anti").union(own.join(twice, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    parts = written(fragments(once, n), "fragments", release=True)
     apart = written(differences(stars, parts, percent), "differences", release=True)
     links = apart.where("link").select("a", "b")
     found = written(components(links), "components")

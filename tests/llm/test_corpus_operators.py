@@ -107,6 +107,22 @@ def test_jaccard_odd_tables(spark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 3, 3, 7, 8] and kept.columns == odd(spark, rows).columns
 
 
+def test_repeated_rows_with_near_copies(spark):
+    """A repeated row neither loses its links nor gains any: copies above the threshold and below it."""
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(202)]
+
+    def changed(places):
+        return " ".join(f"x{k}" if k in places else w for k, w in enumerate(base))
+
+    texts = {1: " ".join(base), 2: changed({50, 150}), 3: changed({20, 60, 100, 140, 180}), 4: changed({30, 70, 110, 150, 190}), 5: changed({51}), 6: prose(rng, 100)}
+    rows = [(i, t) for i, t in texts.items() for _ in range(2)]
+    expected = brute_jaccard(texts, 3, 90)
+    assert expected[2][1] == expected[5][1] == 1 and expected[3][1] == 3 and expected[4][1] == 4
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd(spark, rows), 3, 90).collect())
+    assert got == sorted((i, *expected[i]) for i, _ in rows)
+
+
 def test_shingles_of_few_words(spark):
     """A whole step of fewer words than an n-gram has, down to none."""
     for k in range(6):
