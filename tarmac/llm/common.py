@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step looks at; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,19 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there, and lost executors take nothing along.
+#: Spark removes an execution's shuffle files at its end when this is set; else only once the driver's collector sees them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    release: exchanges of earlier steps are of no more use; the driver's garbage collection, which lets Spark delete their
-    files, is asked for at once and not left to chance.
-    """
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: its lineage ends there, lost executors take nothing along, its exchanges go at once."""
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if release:  # before the write: the caller holds df's own plan until it returns
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and no later step reads."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def id_text(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:

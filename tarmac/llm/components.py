@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -25,14 +25,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             large = written(edges.join(least, "lo").select("hi", F.col("m").alias("lo")).distinct(), "large")
             low = written(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
             small = large.join(low, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi > lo").union(low.select("hi", F.col("m").alias("lo")))
-            edges = written(small.distinct(), "links")
+            last, edges = edges, written(small.distinct(), "links")
+            dropped(last, least, large, low)
             after = digest(edges)
             if after == before:
                 break
             before = after
         else:
             raise RuntimeError("the components did not settle")
-    return edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(edges.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+    named = edges.select(F.col("hi").alias("id"), F.col("lo").alias("component")).union(edges.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())
+    out = written(named, "components")
+    dropped(edges)
+    return out
 
 
 def digest(edges: DataFrame) -> tuple:

@@ -12,15 +12,18 @@ partner then is too. No pair is lost.
 
 Verification: candidate pairs meet fragment by fragment, partial overlaps are counted there and summed per pair.
 
-Groups: what is asked for is components, so the sets of a file are first compared with its smallest member only, its hub.
-That finds each member's difference from the hub, too. Two members differ by what their differences don't share; if no
-links connect them yet, they can only be linked if their differences share at least a number of n-grams that their sizes
-give. Differences are joined by a prefix filter that takes what the hub lacks first: independent edits of one text, however
-many, hence make no pairs, and no pair is lost, as linked sets share a file and with it a hub. Equal sets are one class from
-the start.
+Groups: what is asked for is components, so each set is first compared with one other only, its hub: the smallest id found
+within two steps of shared files, which is the same one for all sets of a file. That finds each member's difference from the
+hub, too. Two members differ by what their differences don't share; if no links connect them yet, they can only be linked if
+their differences share at least a number of n-grams that their sizes give. Differences are joined by a prefix filter in the
+order of rarity among the hub's members, so that independent edits of one text, however many, make hardly any pairs: what
+many members share comes last, and what one member has alone joins nothing. No pair is lost, as linked sets share a file and
+with it a hub. Equal sets are one class from the start, filed once under their smallest id.
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. Rows of a null id keep a null
-component. Rows of equal id count as one document. Further columns are left alone.
+component. Rows of equal id count as one document; if their texts differ, the one whose set has the smallest size and digest
+is it, and rows of the others are named after their own set's class. A long text is one step of a task; an empty table gives
+an empty result. Further columns are left alone.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import by_bytes, id_text, written
+from .common import by_bytes, dropped, id_text, written
 from .components import components
 
 #: Fragments of the order in which partial overlaps are counted, as a power of two.
@@ -41,8 +45,6 @@ FRAGMENT_BITS = 2
 #: Bits of a signature that hold its level; the last one is that of crowded sets.
 LEVEL_BITS = 6
 CROWDED = (1 << LEVEL_BITS) - 1
-#: Digests of sets that a task remembers, so that it files each of its equal sets once.
-KNOWN_SETS = 200_000
 
 
 def sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,37 +119,31 @@ def signatures(value: np.ndarray, offsets: np.ndarray, rule: Rule) -> tuple[np.n
     return np.concatenate(rows), np.concatenate(found), np.unique(np.concatenate(needs), axis=0)
 
 
+def digests(value: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each row's set that equal sets share."""
+    sums = [np.concatenate([np.zeros(1, K.U), np.cumsum(K.mix(value ^ K.U(seed)))]) for seed in (0x1234567, 0x89ABCDE)]
+    return [K.mix(s[offsets[1:]] - s[offsets[:-1]]).view(np.int64) for s in sums]
+
+
 def filed(docs: DataFrame, n: int, rule: Rule) -> DataFrame:
-    """(doc_id, size, d1, d2, files, needs): digests of the set, its signatures, and (level * 2 ** 32 + least) of each level;
-    files and needs are empty for a set equal to one the task has filed."""
+    """(doc_id, size, d1, d2, files, needs): digests of the set, its signatures, and (level * 2 ** 32 + least) of each level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set = set()
         for batch in by_bytes(batches):
             value, offsets = sets(batch.column("text"), n)
-            size = np.diff(offsets)
-            sums = [np.concatenate([np.zeros(1, K.U), np.cumsum(K.mix(value ^ K.U(seed)))]) for seed in (0x1234567, 0x89ABCDE)]
-            digests = [K.mix(s[offsets[1:]] - s[offsets[:-1]]) for s in sums]
-            alone = np.zeros(len(size), bool)
-            for i, key in enumerate(zip(size.tolist(), digests[0].tolist(), digests[1].tolist(), strict=True)):
-                if key not in known:
-                    alone[i] = key[0] > 0
-                    if len(known) < KNOWN_SETS:
-                        known.add(key)
-            kept = np.where(alone, size, 0)
-            where = np.concatenate([[0], np.cumsum(kept)])
-            row, signature, needs = signatures(K.gather(value, offsets[:-1], kept), where, rule)
+            row, signature, needs = signatures(value, offsets, rule)
             order = np.argsort(row, kind="stable")
-            at = np.searchsorted(row[order], np.arange(len(size) + 1))
-            files = K.list_column(signature[order].view(np.int64), at)
-            least = K.list_column(needs[:, 1] << 32 | needs[:, 2], np.searchsorted(needs[:, 0], np.arange(len(size) + 1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size), *(pa.array(d.view(np.int64)) for d in digests), files, least], ["doc_id", "size", "d1", "d2", "files", "needs"])
+            rows = np.arange(batch.num_rows + 1)
+            files = K.list_column(signature[order].view(np.int64), np.searchsorted(row[order], rows))
+            least = K.list_column(needs[:, 1] << 32 | needs[:, 2], np.searchsorted(needs[:, 0], rows))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), *(pa.array(d) for d in digests(value, offsets)), files, least], ["doc_id", "size", "d1", "d2", "files", "needs"])
 
     return written(docs.mapInArrow(run, "doc_id long, size long, d1 long, d2 long, files array<long>, needs array<long>"), "filed")
 
 
 def fragments(docs: DataFrame, n: int) -> DataFrame:
-    """(doc, fragment, grams): the sets of docs(doc_id, text), cut along the order; empty fragments included."""
+    """(doc, fragment, grams): the sets of docs(doc_id, text, d1), cut along the order; empty fragments included. Only texts
+    whose set has the digest d1 count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
@@ -156,7 +152,9 @@ def fragments(docs: DataFrame, n: int) -> DataFrame:
             part = row << FRAGMENT_BITS | (value >> K.U(64 - FRAGMENT_BITS)).astype(np.int64)
             every = np.arange(batch.num_rows << FRAGMENT_BITS)
             at = np.searchsorted(part, np.append(every, len(every)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(pa.array(every >> FRAGMENT_BITS)), pa.array((every & ((1 << FRAGMENT_BITS) - 1)).astype(np.int32)), K.list_column(value.view(np.int64), at)], ["doc", "fragment", "grams"])
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(pa.array(every >> FRAGMENT_BITS)), pa.array((every & ((1 << FRAGMENT_BITS) - 1)).astype(np.int32)), K.list_column(value.view(np.int64), at)], ["doc", "fragment", "grams"])
+            right = digests(value, offsets)[0] == batch.column("d1").to_numpy()
+            yield out.filter(pa.array(np.repeat(right, 1 << FRAGMENT_BITS)))
 
     return docs.mapInArrow(run, "doc long, fragment int, grams array<long>")
 
@@ -175,13 +173,36 @@ def linked(pairs: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def differences(stars: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb, link, size, first) of each star (a: hub, b: member): whether they are linked, the size of their
-    difference, and as many of its n-grams as a partner can ask for: those that the hub lacks, then those that b lacks."""
+    """(a, b, nb, link, size, grams) of each star (a: hub, b: member): whether they are linked, and their difference."""
     partial = met(stars, parts).select("a", "b", "na", "nb", F.array_except("gb", "ga").alias("own"), F.array_except("ga", "gb").alias("lost"))
-    whole = partial.groupBy("a", "b", "na", "nb").agg(F.flatten(F.collect_list("own")).alias("own"), F.flatten(F.collect_list("lost")).alias("lost"))
-    most = F.expr(f"(nb + 100 * nb div {percent}) * {100 - percent} div {100 + percent} + 1").cast("int")
-    first = F.slice(F.concat(F.array_sort("own"), F.array_sort("lost")), F.lit(1), most)
-    return whole.select("a", "b", "na", "nb", F.expr(f"100 * (nb - size(own)) >= {percent} * (na + size(own))").alias("link"), (F.size("own") + F.size("lost")).alias("size"), first.alias("first"))
+    partial = partial.select("a", "b", "na", "nb", F.size("own").cast("long").alias("own"), F.concat("own", "lost").alias("grams"))
+    whole = partial.groupBy("a", "b", "na", "nb").agg(F.sum("own").alias("own"), F.flatten(F.collect_list("grams")).alias("grams"))
+    return whole.select("a", "b", "nb", F.expr(f"100 * (nb - own) >= {percent} * (na + own)").alias("link"), F.size("grams").alias("size"), "grams")
+
+
+def candidates(owned: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb): pairs of a hub's members of different components c whose differences may share enough.
+
+    owned: (hub, b, n, size, c, grams). A hub's n-grams are ordered by the number of members that differ in them; a pair
+    that shares enough has one in common among the first of both.
+    """
+    split = written(owned.groupBy("hub").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("hub"), "split-hubs")
+    listed = written(owned.join(split, "hub").select("hub", "b", "n", "size", "c", F.explode("grams").alias("gram")), "difference-grams")
+    among = listed.groupBy("hub", "gram").agg(F.count("*").alias("df"), F.min("c").alias("least"), F.max("c").alias("most"))
+    counted = written(listed.join(written(among, "difference-counts"), ["hub", "gram"]), "counted-grams")
+    dropped(split, listed)
+    place = F.row_number().over(Window.partitionBy("hub", "b").orderBy("df", "gram")) - 1
+    # As many as any partner can ask for; of those, the ones that meet another component.
+    first = F.expr(f"(n + 100 * n div {percent}) * {100 - percent} div {100 + percent} + 1")
+    ranked = counted.withColumn("at", place).where(F.col("at") < first).where("least < most")
+    ranked = written(ranked.select("hub", "gram", "b", "n", "size", "c", "at"), "first-grams")
+    x, y = (ranked.select("hub", "gram", *(F.col(c).alias(f"{c}_{s}") for c in ("b", "n", "size", "c", "at"))) for s in "xy")
+    share = f"greatest(1, (size_x + size_y - (n_x + n_y) * {100 - percent} div {100 + percent} + 1) div 2)"
+    fits = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+    pairs = x.join(y, (x["hub"] == y["hub"]) & (x["gram"] == y["gram"]) & F.expr(f"b_x < b_y and c_x <> c_y and {fits} and at_x <= size_x - {share} and at_y <= size_y - {share}"))
+    out = written(pairs.select(F.col("b_x").alias("a"), F.col("b_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb")).distinct(), "pairs")
+    dropped(counted, ranked)
+    return out
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,48 +210,53 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     own, rule = id_text(docs, id_col, text_col), Rule(percent)
     marks = filed(own, n, rule)
     key = ["size", "d1", "d2"]
-    classes = written(marks.where("size > 0").groupBy(*key).agg(F.min("doc_id").alias("rep")), "set-classes")
-    rows = marks.where("doc_id is not null and files is not null").select("doc_id", F.explode("files").alias("file"))
-    shared = written(rows.groupBy("file").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("file"), "shared-files", release=True)
-    reps = written(marks.where("size > 0").join(classes, key).select("doc_id", "rep", F.col("size").alias("n")).distinct(), "set-reps")
-    members = written(rows.join(shared, "file").join(reps, "doc_id").select("file", "rep", "n").distinct(), "members", release=True)
+    ids = marks.where("size > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(F.struct(*key)).alias("k")).select("doc_id", "k.*")
+    classes = written(ids.groupBy(*key).agg(F.min("doc_id").alias("rep")), "set-classes")
+    chosen = classes.withColumnRenamed("rep", "doc_id")
+    files = written(marks.join(chosen, ["doc_id", *key]).select(F.col("doc_id").alias("rep"), F.col("size").alias("n"), "files", "needs"), "class-files")
+
+    rows = files.select("rep", "n", F.explode("files").alias("file"))
+    shared = written(rows.groupBy("file").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x < y").select("file"), "shared-files")
+    met_there = written(rows.join(shared, "file").select("file", "rep", "n").distinct(), "members")
     # A linked partner shares at least so many files of a level; members that share fewer with all others have none.
-    needs = marks.where("size > 0").select(*key, F.explode("needs").alias("need")).join(classes, key).select("rep", F.expr("cast(shiftright(need, 32) as int)").alias("level"), F.expr(f"need & {(1 << 32) - 1}").alias("least")).distinct()
+    needs = files.select("rep", F.explode("needs").alias("need")).select("rep", F.expr("cast(shiftright(need, 32) as int)").alias("level"), F.expr(f"need & {(1 << 32) - 1}").alias("least")).distinct()
     level = F.expr(f"cast(file & {CROWDED} as int)").alias("level")
-    enough = members.select("rep", level).groupBy("rep", "level").agg(F.count("*").alias("shared")).join(needs, ["rep", "level"]).where("shared >= least").select("rep", "level")
-    members = members.select("*", level).join(written(enough, "enough"), ["rep", "level"]).select("file", "rep", "n")
-    members = written(members, "members")
-    hubs = written(members.groupBy("file").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("file", "hub"), "hubs")
+    enough = met_there.select("rep", level).groupBy("rep", "level").agg(F.count("*").alias("shared")).join(needs, ["rep", "level"]).where("shared >= least").select("rep", "level")
+    members = written(met_there.select("*", level).join(enough, ["rep", "level"]).select("file", "rep", "n"), "members")
+    dropped(files, shared, met_there)
+
+    near = members.groupBy("file").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("file", "hub")
+    near = written(members.join(near, "file").groupBy("rep").agg(F.min("hub").alias("hub")), "near-hubs")
+    hubs = written(members.join(near, "rep").groupBy("file").agg(F.min("hub").alias("hub")), "hubs")
     sizes = classes.select(F.col("rep").alias("a"), F.col("size").alias("na"))
     stars = members.join(hubs, "file").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), F.col("n").alias("nb")).distinct()
-    stars = written(stars.join(sizes, "a").select("a", "b", "na", "nb").distinct(), "stars")
-    sought = written(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct(), "sought")
+    stars = written(stars.join(sizes, "a").select("a", "b", "na", "nb"), "stars")
+    dropped(members, near, hubs)
+
+    sought = written(stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct().join(chosen.select("doc_id", "d1"), "doc_id"), "sought")
     # One row for each id, or its overlaps would count twice. Only ids that occur again are gathered for that.
-    twice = written(marks.select("doc_id").join(sought, "doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
-    once = own.join(sought, "doc_id").select("doc_id", "text")
+    twice = written(marks.join(chosen.join(sought.select("doc_id"), "doc_id"), ["doc_id", *key]).groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated-ids")
+    parts = fragments(own.join(sought, "doc_id").select("doc_id", "text", "d1"), n)
     if not twice.isEmpty():
-        once = once.join(twice, "doc_id", "left_anti").union(own.join(twice, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
-    parts = written(fragments(once, n), "fragments", release=True)
-    apart = written(differences(stars, parts, percent), "differences", release=True)
+        again = parts.join(twice.withColumnRenamed("doc_id", "doc"), "doc").groupBy("doc", "fragment").agg(F.max("grams").alias("grams"))
+        parts = parts.join(twice.withColumnRenamed("doc_id", "doc"), "doc", "left_anti").union(again)
+    parts = written(parts, "fragments")
+    apart = written(differences(stars, parts, percent), "differences")
     links = apart.where("link").select("a", "b")
-    found = written(components(links), "components")
+    found = components(links)
 
     # Members of a hub that no links connect yet: their differences from it, joined.
     named = found.withColumnRenamed("id", "b").withColumnRenamed("component", "cb")
-    owned = apart.join(named, "b", "left").select(F.col("a").alias("hub"), "b", F.col("nb").alias("n"), "size", F.coalesce("cb", "b").alias("c"), "first")
-    owned = written(owned, "owned")
-    split = written(owned.groupBy("hub").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("hub"), "split-hubs")
-    listed = written(owned.join(split, "hub").select("hub", "b", "n", "size", "c", F.posexplode("first").alias("at", "gram")), "difference-grams")
-    x, y = (listed.select("hub", "gram", *(F.col(c).alias(f"{c}_{s}") for c in ("b", "n", "size", "c", "at"))) for s in "xy")
-    share = f"greatest(1, (size_x + size_y - (n_x + n_y) * {100 - percent} div {100 + percent} + 1) div 2)"
-    fits = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
-    pairs = x.join(y, (x["hub"] == y["hub"]) & (x["gram"] == y["gram"]) & F.expr(f"b_x < b_y and c_x <> c_y and {fits} and at_x <= size_x - {share} and at_y <= size_y - {share}"))
-    pairs = written(pairs.select(F.col("b_x").alias("a"), F.col("b_y").alias("b"), F.col("n_x").alias("na"), F.col("n_y").alias("nb")).distinct(), "pairs")
+    owned = written(apart.join(named, "b", "left").select(F.col("a").alias("hub"), "b", F.col("nb").alias("n"), "size", F.coalesce("cb", "b").alias("c"), "grams"), "owned")
+    pairs = candidates(owned, percent)
     more = written(linked(pairs, parts, percent), "links")
     if not more.isEmpty():
-        found = written(components(links.union(more)), "components")
+        dropped(found)
+        found = components(links.union(more))
+    dropped(stars, sought, twice, parts, apart, owned, pairs, more)
 
     named = written(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component")), "named")
+    dropped(classes, found)
     out = marks.select("doc_id", *key).join(named, key, "left")
     return out.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
