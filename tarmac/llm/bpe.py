@@ -7,7 +7,8 @@ a right pair with the last token of the prefix before it. There is exactly one,
 exactly if each two neighbours encode to themselves. So the states of shared prefixes are computed once, and following
 the last tokens back from a word's node gives its encoding. Words stay known to the worker up to a fixed number.
 
-Null and empty texts encode to no ids. Repeated rows, ties and further columns need no care: each row is encoded by itself.
+Null and empty texts encode to no ids. Repeated rows, ties and further columns need no care: each row is encoded by itself. A
+long text is one step of a task, at a few dozen bytes of memory a character. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,14 +44,19 @@ def byte_characters() -> dict[str, int]:
 
 
 def char_class() -> np.ndarray:
-    """The class of each code point, by the regex library's Unicode tables."""
+    """The class of each code point as the tokenizers library's patterns see it, whose Unicode tables are its own. Planes from
+    the fourth on hold neither letters, numbers nor white space."""
     if "all" not in _classes:
-        import regex
+        from tokenizers import Regex, pre_tokenizers
 
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        points = np.array([*range(0xD800), *range(0xE000, 0x40000)])
+        every = "".join(map(chr, points.tolist()))
         table = np.full(0x110000, OTHER, np.uint8)
         for name, kind in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", SPACE)):
-            table[[ord(x) for x in regex.findall(name, every)]] = kind
+            found = np.ones(len(points), bool)
+            for _, (begin, end) in pre_tokenizers.Split(Regex(name + "+"), "removed").pre_tokenize_str(every):
+                found[begin:end] = False
+            table[points[found]] = kind
         _classes["all"] = table
     return _classes["all"]
 

@@ -80,6 +80,19 @@ def test_bpe_matches_the_library(spark, sf_dir):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
 
 
+def test_every_code_point_matches_the_library():
+    """Between a letter, a number, a mark and a space, so that its class decides."""
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(BYTE), bpe.Codec(BYTE)
+    points = [*range(1, 0xD800), *range(0xE000, 0x40000), *range(0x40000, 0x110000, 0x101)]
+    for at in range(0, len(points), 4096):
+        texts = ["".join(f"a{chr(p)}1{chr(p)}!{chr(p)} {chr(p)}" for p in points[k : k + 32]) for k in range(at, min(at + 4096, len(points)), 32)]
+        ids, offsets = own.encode(texts)
+        found = [ids[s:e].tolist() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert found == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)], hex(points[at])
+
+
 def test_bpe_with_a_small_memory(monkeypatch):
     texts = ["alpha beta gamma", "delta beta epsilon zeta", "alpha eta theta"] * 3
     expected = [bpe.codec(BYTE).encode([t])[0].tolist() for t in texts]
