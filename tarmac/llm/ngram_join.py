@@ -181,7 +181,7 @@ def differences(stars: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
 
 
 def candidates(owned: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb): pairs of a hub's members of different components c whose differences may share enough.
+    """(a, b, na, nb): pairs of a hub's members, of different components c, whose differences may share enough.
 
     owned: (hub, b, n, size, c, grams). A hub's n-grams are ordered by the number of members that differ in them; a pair
     that shares enough has one in common among the first of both.
@@ -242,18 +242,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         parts = parts.join(twice.withColumnRenamed("doc_id", "doc"), "doc", "left_anti").union(again)
     parts = written(parts, "fragments")
     apart = written(differences(stars, parts, percent), "differences")
-    links = apart.where("link").select("a", "b")
-    found = components(links)
-
-    # Members of a hub that no links connect yet: their differences from it, joined.
-    named = found.withColumnRenamed("id", "b").withColumnRenamed("component", "cb")
-    owned = written(apart.join(named, "b", "left").select(F.col("a").alias("hub"), "b", F.col("nb").alias("n"), "size", F.coalesce("cb", "b").alias("c"), "grams"), "owned")
-    pairs = candidates(owned, percent)
+    # Members that a hub links are of one component; others join by their differences from it.
+    component = F.expr("if(link, a, b)").alias("c")
+    pairs = candidates(apart.select(F.col("a").alias("hub"), "b", F.col("nb").alias("n"), "size", component, "grams"), percent)
     more = written(linked(pairs, parts, percent), "links")
-    if not more.isEmpty():
-        dropped(found)
-        found = components(links.union(more))
-    dropped(stars, sought, twice, parts, apart, owned, pairs, more)
+    found = components(apart.where("link").select("a", "b").union(more))
+    dropped(stars, sought, twice, parts, apart, pairs, more)
 
     named = written(classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component")), "named")
     dropped(classes, found)
