@@ -8,7 +8,9 @@ with the largest label, so that a filter holds a bounded share of unrelated vect
 
 Equal vectors of a label are one class, and only classes are paired; the links of their members are counted from class sizes.
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label or id, link with
-nothing (n_links 0, their own component). Vectors of unequal length are never linked. A repeated row is a vector of its own.
+nothing (n_links 0, their own component). Vectors of unequal length are never linked. A repeated row is a vector of its own,
+and so are unequal vectors of one id. Ties: a cosine of exactly the least one links. An empty table gives an empty result, a
+long vector is a row of its own matrix, and further columns are left alone. Memory: a step of decoding holds STEP_SUMS sums.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 from .components import components
 
 #: Filters that a vector is decoded to, about; and how far below its best filter's score a vector is decoded at least.
 LIST_SIZE = 48
 MARGIN = 0.05
+#: Filters for each vector of the largest label: an unrelated vector then shares a filter with one or two others on average.
+FILTERS = 32
+#: Sums of half codes that are held at once.
+STEP_SUMS = 1 << 19
 
 
 class Code:
@@ -35,6 +41,7 @@ class Code:
         rng = np.random.default_rng((seed, dim))
         self.blocks = max(1, min(4, dim // 8))
         self.words = max(4, int(np.ceil(filters ** (1 / self.blocks))))
+        self.step = max(1, STEP_SUMS // self.words ** ((self.blocks + 1) // 2))
         self.rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         self.parts = np.array_split(np.arange(dim), self.blocks)
         self.books = []
@@ -80,34 +87,34 @@ def near_links(embeddings: DataFrame, least_cosine: float = 0.98, id_col: str =
     sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
     valid = rows.where(sound)
     digest = [F.xxhash64("v").alias("d1"), F.xxhash64(F.lit(1), "v").alias("d2")]
-    classes = written(valid.groupBy("label", *digest).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v")), "classes")
+    classes = valid.groupBy("label", *digest).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.any_value("v").alias("v"))
+    classes = written(classes.withColumn("cls", F.xxhash64("label", "d1", "d2")), "classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0]
-    size = 8.0 * max(largest or 1, 512)
+    size = float(FILTERS) * max(largest or 1, 512)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, Code] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                reps, vectors = part.column("rep").to_numpy(), part.column("v").to_pylist()
-                dims = np.array([len(v) for v in vectors])
-                for dim in np.unique(dims):
-                    own = np.flatnonzero(dims == dim)
-                    x = np.array([vectors[i] for i in own])
+            cls, width = batch.column("cls").to_numpy(), np.diff(np.asarray(batch.column("v").offsets))
+            for dim in np.unique(width):
+                every = np.flatnonzero(width == dim)
+                code = codes.setdefault(int(dim), Code(int(dim), size))
+                for at in range(0, len(every), code.step):
+                    own = every[at : at + code.step]
+                    x = np.asarray(batch.column("v").take(pa.array(own)).flatten()).reshape(len(own), dim)
                     x = x / np.abs(x).max(axis=1, keepdims=True)
-                    code = codes.setdefault(int(dim), Code(int(dim), size))
                     vector, found = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                    label = part.column("label").take(pa.array(own[vector]))
-                    yield pa.RecordBatch.from_arrays([label, pa.array(np.full(len(found), dim, np.int32)), pa.array(found.astype(np.int64)), pa.array(reps[own[vector]])], ["label", "dim", "filter", "rep"])
+                    label = batch.column("label").take(pa.array(own[vector]))
+                    yield pa.RecordBatch.from_arrays([label, pa.array(np.full(len(found), dim, np.int32)), pa.array(found.astype(np.int64)), pa.array(cls[own[vector]])], ["label", "dim", "filter", "cls"])
 
     kind = dict(classes.dtypes)
-    listed = classes.select("label", "rep", "v").mapInArrow(decoded, f"label {kind['label']}, dim int, filter long, rep {kind['rep']}")
+    listed = classes.select("label", "cls", "v").mapInArrow(decoded, f"label {kind['label']}, dim int, filter long, cls long")
     listed = written(listed, "filters")
     key = ["label", "dim", "filter"]
-    pairs = listed.alias("x").join(listed.withColumnRenamed("rep", "other"), key).where("rep < other").select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()
+    pairs = listed.alias("x").join(listed.withColumnRenamed("cls", "other"), key).where("cls < other").select(F.col("cls").alias("a"), F.col("other").alias("b")).distinct()
 
     def side(name: str) -> DataFrame:
-        return classes.select(F.col("rep").alias(name), F.col("v").alias(f"v{name}"), F.col("n").alias(f"n{name}"))
+        return classes.select(F.col("cls").alias(name), F.col("v").alias(f"v{name}"), F.col("n").alias(f"n{name}"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,10 +131,15 @@ def near_links(embeddings: DataFrame, least_cosine: float = 0.98, id_col: str =
                 yield part.filter(pa.array(ok)).select(["a", "b", "na", "nb"])
 
     near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "va", "vb")
-    near = written(near.mapInArrow(verified, f"a {kind['rep']}, b {kind['rep']}, na long, nb long"), "near")
-    others = near.select(F.col("a").alias("rep"), F.col("nb").alias("n")).union(near.select("b", "na")).groupBy("rep").agg(F.sum("n").alias("others"))
-    component = components(near).withColumnRenamed("id", "rep")
-    found = written(classes.select("label", "d1", "d2", "rep", "n").join(others, "rep", "left").join(component, "rep", "left").select("label", "d1", "d2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "found")
+    near = written(near.mapInArrow(verified, "a long, b long, na long, nb long"), "near")
+    others = near.select(F.col("a").alias("cls"), F.col("nb").alias("n")).union(near.select("b", "na")).groupBy("cls").agg(F.sum("n").alias("others"))
+    # Components are named by class; the smallest id of each is asked for.
+    component = components(near).withColumnRenamed("id", "cls")
+    least = component.join(classes.select("cls", "rep"), "cls").groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = written(component.join(least, "component").select("cls", "component_id"), "named")
+    found = classes.select("label", "d1", "d2", "cls", "rep", "n").join(others, "cls", "left").join(named, "cls", "left")
+    found = written(found.select("label", "d1", "d2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "found")
+    dropped(classes, listed, near, named)
     linked = valid.select("vec_id", "label", *digest).join(found, ["label", "d1", "d2"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
