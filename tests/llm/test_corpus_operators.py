@@ -214,6 +214,34 @@ def test_lines_odd_tables(spark):
     assert sorted((r.doc_id or 9, r.n_removed_lines > 0) for r in got) == [(1, False), (1, False), (2, True), (9, True)]
 
 
+@pytest.mark.parametrize("shared", [5, None])
+def test_lines_of_equal_ids(spark, shared):
+    """Rows of one id, or of none, keep their own places: what occurs once stays."""
+    rng = random.Random(4)
+    a, b = ("\n".join(prose(rng, 5) for _ in range(15)) for _ in range(2))
+    got = line_dedup.dedup_lines(odd(spark, [(1, a), (shared, a), (shared, b)])).collect()
+    assert sorted((r.doc_id or 9, r.n_lines, r.n_removed_lines, r.text) for r in got) == sorted([(1, 15, 0, a), (shared or 9, 15, 15, ""), (shared or 9, 15, 0, b)])
+    # Equal ids and places: one of them leads.
+    got = line_dedup.dedup_lines(odd(spark, [(shared, a + "\n" + b), (shared, a + "\nx\n" + b + "\ny")])).collect()
+    assert sum(r.n_removed_chunks > 0 for r in got) == 1
+
+
+def test_share_of_planted_blocks(spark):
+    """Copies go whole, paragraphs set off by empty lines too; blocks amid unlike text go for the share that the rule gives."""
+    rng = random.Random(6)
+    for gap in ("\n", "\n\n"):
+        texts = [gap.join(prose(rng, 8) for _ in range(n)) for n in range(2, 12)]
+        got = line_dedup.dedup_lines(odd(spark, list(enumerate(texts * 2)))).collect()
+        assert all(r.text == (texts[r.doc_id] if r.doc_id < 10 else "") for r in got)
+    for size, least in ((5, 0.1), (10, 0.4), (20, 0.65)):
+        rows, block = [], []
+        for k in range(60):
+            block = block if k % 2 else [prose(rng, 8) for _ in range(size)]
+            rows.append((k, "\n".join([prose(rng, 8) for _ in range(rng.randint(6, 12))] + block + [prose(rng, 8) for _ in range(rng.randint(6, 12))])))
+        gone = {r.doc_id: r.n_removed_lines for r in line_dedup.dedup_lines(odd(spark, rows)).collect()}
+        assert sum(v for k, v in gone.items() if k % 2 == 0) == 0 and least * size * 30 <= sum(gone.values()) <= size * 30, (size, sum(gone.values()))
+
+
 def planted(rng, item, kind):
     words = item.split()
     if kind == "edited":
@@ -389,3 +417,13 @@ def test_vectors_odd_tables(spark):
     assert embedding_dedup.near_links(vectors(spark, [])).count() == 0
     got = embedding_dedup.near_links(vectors(spark, [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [1.0, 2.0], 0)])).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.kept) for r in got) == [(0, 0, True), (1, 1, True), (1, 1, True)]
+
+
+def test_vectors_of_equal_ids(spark):
+    """Unequal vectors of one id, under two labels and under one, are vectors of their own."""
+    rng = np.random.default_rng(3)
+    x, far = rng.standard_normal(32), rng.standard_normal(32)
+    near = [(x + 0.02 * rng.standard_normal(32)).tolist() for _ in range(3)]
+    rows = [(5, near[0], 0), (5, near[1], 1), (9, near[2], 0), (9, far.tolist(), 0)]
+    got = [(r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_links(vectors(spark, rows)).collect()]
+    assert sorted(got) == [(5, 0, 5), (5, 1, 5), (9, 0, 9), (9, 1, 5)]
