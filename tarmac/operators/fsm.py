@@ -120,13 +120,19 @@ def incidents(metrics: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def baselines(metrics: DataFrame, alpha: float = Rules.alpha) -> DataFrame:
-    """The average's exponential mean after each metric of a segment, as if no incident ever opened: a fold in one expression."""
-    steps = F.array_sort(F.collect_list(F.struct("window_end_ms", "avg_speed_mps")))
-    none = F.lit(None).cast("double")
-    mean = lambda b, x: F.lit(alpha) * x + F.lit(1.0 - alpha) * F.coalesce(b, x)
-    out = F.aggregate(
-        steps,
-        F.struct(none.alias("b"), F.array().cast("array<struct<window_end_ms:bigint,baseline:double>>").alias("out")),
-        lambda acc, m: F.struct(mean(acc["b"], m["avg_speed_mps"]).alias("b"), F.concat(acc["out"], F.array(F.struct(m["window_end_ms"].alias("window_end_ms"), mean(acc["b"], m["avg_speed_mps"]).alias("baseline")))).alias("out")),
-    )
-    return metrics.groupBy("segment_id").agg(out["out"].alias("o")).select("segment_id", F.explode("o").alias("o")).select("segment_id", "o.window_end_ms", "o.baseline")
+    """The average's exponential mean after each metric of a segment, as if no incident ever opened. As the state machine, a
+    task walks its sorted rows once and holds one number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment, mean = None, None
+        for batch in batches:
+            out = []
+            for name, speed in zip(batch.column("segment_id").to_pylist(), batch.column("avg").to_pylist(), strict=True):
+                if name != segment:
+                    segment, mean = name, None
+                mean = alpha * speed + (1.0 - alpha) * (speed if mean is None else mean)
+                out.append(mean)
+            yield pa.RecordBatch.from_arrays([batch.column("segment_id"), batch.column("window_end_ms"), pa.array(out, pa.float64())], ["segment_id", "window_end_ms", "baseline"])
+
+    kept = metrics.where("segment_id is not null and window_end_ms is not null").select("segment_id", "window_end_ms", F.coalesce("avg_speed_mps", F.lit(0.0)).alias("avg"))
+    return kept.repartition("segment_id").sortWithinPartitions("segment_id", "window_end_ms").mapInArrow(run, "segment_id string, window_end_ms long, baseline double")

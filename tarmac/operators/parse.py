@@ -13,38 +13,33 @@ FIELDS = [("vehicleId", "vehicle_id", "string"), ("eventId", "event_id", "string
 
 def field(variant: str, kind: str) -> Column:
     """A field's variant, coerced as a tolerant reader does: null, text that is no number, lists and objects read as 0;
-    null reads as the text null, lists and objects as no text."""
-    nested = F.expr(f"schema_of_variant({variant}) rlike '^(ARRAY|OBJECT|STRUCT)'")
-    null = F.expr(f"is_variant_null({variant})")
+    null reads as the text null, lists and objects as no text. Absent fields are null."""
     if kind == "string":
-        value = F.when(null, F.lit("null")).when(nested, F.lit("")).otherwise(F.expr(f"try_variant_get({variant}, '$', 'string')"))
-    else:
-        number = F.expr(f"try_variant_get({variant}, '$', 'double')")
-        whole = F.expr(f"try_variant_get({variant}, '$', 'bigint')")
-        value = F.coalesce(whole, number.try_cast("bigint"), F.lit(0).cast("bigint")) if kind == "bigint" else F.coalesce(number, F.lit(0.0))
-        value = F.when(null | nested, F.lit(0).cast(kind)).otherwise(value)
+        text = F.expr(f"try_variant_get({variant}, '$', 'string')")
+        # What looks like a list or an object may be a text that begins like one; only then its type is asked for.
+        nested = text.rlike(r"^[\[{]") & F.expr(f"schema_of_variant({variant}) rlike '^(ARRAY|OBJECT|STRUCT)'")
+        return F.when(F.expr(f"is_variant_null({variant})"), F.lit("null")).when(F.coalesce(nested, F.lit(False)), F.lit("")).otherwise(text)
+    number = F.expr(f"try_variant_get({variant}, '$', 'double')")
+    whole = F.expr(f"try_variant_get({variant}, '$', 'bigint')")
+    value = F.coalesce(whole, number.try_cast("bigint"), F.lit(0).cast("bigint")) if kind == "bigint" else F.coalesce(number, F.lit(0.0))
     return F.when(F.col(variant).isNotNull(), value)
 
 
-def once(rows: DataFrame, kept: list[str], made: list[Column]) -> DataFrame:
-    """kept and made columns. The explode of one struct keeps the planner from copying made expressions into each of their
-    later uses, which would outgrow what Spark can compile."""
-    return rows.select(*kept, F.explode(F.array(F.struct(*made))).alias("__s")).select(*kept, "__s.*")
-
-
 def parsed(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Every record with its ping fields and outcome: ok, parse_error (no JSON), or invalid (a field is absent, an id is
     empty or the time isn't positive). Nothing fails the job."""
     read = raw.withColumn("v", F.expr(f"try_parse_json({value_col})"))
-    apart = once(read, [*raw.columns, "v"], [F.expr(f"try_variant_get(v, '$.{name}', 'variant')").alias(f"__{column}") for name, column, _ in FIELDS])
-    fields = once(apart, [*raw.columns, "v"], [field(f"__{column}", kind).alias(column) for _, column, kind in FIELDS])
+    apart = read.select(*raw.columns, "v", *(F.expr(f"try_variant_get(v, '$.{name}', 'variant')").alias(f"__{column}") for name, column, _ in FIELDS))
+    fields = apart.select(*raw.columns, "v", *(field(f"__{column}", kind).alias(column) for _, column, kind in FIELDS))
     whole = F.lit(True)
     for _, column, _ in FIELDS:
         whole = whole & F.col(column).isNotNull()
     sound = whole & (F.col("vehicle_id") != "") & (F.col("event_id") != "") & (F.col("timestamp_ms") > 0)
     empty = F.trim(F.col(value_col)) == ""
     outcome = F.when(F.col(value_col).isNull() | (F.col("v").isNull() & ~empty), "parse_error").when(F.coalesce(sound, F.lit(False)), "ok").otherwise("invalid")
-    return fields.withColumn("outcome", outcome).drop("v")
+    # One explode of plain columns, behind which no filter on the outcome copies the reading of every field.
+    made = [*(F.col(c) for _, c, _ in FIELDS), outcome.alias("outcome")]
+    return fields.select(*raw.columns, F.explode(F.array(F.struct(*made))).alias("__s")).select(*raw.columns, "__s.*")
 
 
 def pings(raw: DataFrame, value_col: str = "value", observe: str | None = None) -> DataFrame:

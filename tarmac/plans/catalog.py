@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tarmac.functions import scalars as S
 from tarmac.operators import dedup, fsm, parse, tables, windows
 from tarmac.plans import dashboard, views
+from tarmac.shared import kept
 from tarmac.sources import pings as sources
 
 HOURS_3 = 3 * 3_600_000
@@ -68,6 +69,17 @@ def doubled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.union(p.where("cast(event_id as bigint) % 50 = 0").withColumn("arrival_ms", F.col("timestamp_ms") + 1000))
 
 
+#: When a repeated ping comes, after its first arrival: within a time to live of TTL_MS, at it, past it, and again so.
+TTL_MS, REPEATS_MS = 500, (400, 500, 501, 1000, 1001, 1002)
+
+
+def repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pings, every fiftieth again at each of REPEATS_MS."""
+    p = pings(spark, sf_dir).select("vehicle_id", "event_id", F.col("timestamp_ms").alias("arrival_ms"))
+    again = F.explode(F.array(*(F.lit(x).cast("long") for x in REPEATS_MS)))
+    return p.union(p.where("cast(event_id as bigint) % 50 = 0").withColumn("d", again).select("vehicle_id", "event_id", F.col("arrival_ms") + F.col("d")))
+
+
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id") % 6
     text = F.when(n == 0, "close").when(n == 1, " Closed ").when(n == 2, "open").when(n == 3, "").when(n == 4, "OTHER")
@@ -82,7 +94,7 @@ def times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.history_distinct(views.history_raw(history(spark, sf_dir), limit=5000))
+    return views.history_distinct(views.history_raw(history(spark, sf_dir), limit=None))
 
 
 def q_segment_metrics(s, d):
@@ -119,7 +131,7 @@ def q_dedup_pings(s, d):
 
 
 def q_dedup_ttl(s, d):
-    return dedup.first_arrivals(doubled(s, d), "arrival_ms", ttl_ms=500).groupBy("vehicle_id").agg(F.count("*").alias("kept"))
+    return dedup.first_arrivals(repeated(s, d), "arrival_ms", ttl_ms=TTL_MS).select("vehicle_id", "event_id", "arrival_ms")
 
 
 def q_dedup_cap(s, d):
@@ -164,7 +176,7 @@ def q_view_history_since(s, d):
 
 
 def q_view_history_distinct(s, d):
-    return views.history_distinct(views.history_raw(history(s, d), limit=101))
+    return distinct(s, d)
 
 
 def q_summary_current(s, d):
@@ -180,13 +192,20 @@ def q_summary_top_segment(s, d):
 
 
 def q_dashboard_overview(s, d):
-    h = history(s, d)
+    h = kept(history(s, d))
     return views.overview(tables.current(h), h, NOW_MS, MINUTES)
 
 
+def q_dashboard_cards(s, d):
+    """The nested overview, taken apart again."""
+    h = kept(history(s, d))
+    nested = views.card_metrics(views.overview(tables.current(h), h, NOW_MS, MINUTES))
+    return nested.select(F.col("most_affected_segment.segment_id").alias("most_affected_segment"), F.col("most_affected_segment.incident_count").alias("most_affected_count"), "current_incident_rows", "card_metrics.*")
+
+
 def q_dashboard_overview_rows(s, d):
-    h = history(s, d)
-    return views.overview_of_rows(views.current_view(tables.current(h)), views.history_raw(h, limit=5000), NOW_MS, MINUTES)
+    h = kept(history(s, d))
+    return views.overview_of_rows(views.current_view(tables.current(h)), views.history_raw(h, limit=None), NOW_MS, MINUTES)
 
 
 def q_incidents_per_minute(s, d):
@@ -194,7 +213,7 @@ def q_incidents_per_minute(s, d):
 
 
 def q_severity_histogram(s, d):
-    return dashboard.severity_histogram(views.history_raw(history(s, d), limit=5000))
+    return dashboard.severity_histogram(views.current_view(current(s, d), limit=1000))
 
 
 def q_top_segments(s, d):
@@ -202,7 +221,7 @@ def q_top_segments(s, d):
 
 
 def q_browser_latest(s, d):
-    return dashboard.latest(views.history_raw(history(s, d), limit=101)).select("incident_key", "segment_id", "status", "severity", "start_ts", "end_ts")
+    return dashboard.latest(views.history_raw(history(s, d), limit=None)).select("incident_key", "segment_id", "status", "severity", "start_ts", "end_ts")
 
 
 def q_recent_history_50(s, d):
@@ -234,7 +253,7 @@ def q_incident_json(s, d):
 
 
 def q_close_time_missing(s, d):
-    return views.history_raw(history(s, d), limit=5000).groupBy(S.close_time_missing("end_ts").alias("missing")).agg(F.count("*").alias("n"))
+    return views.history_raw(history(s, d), limit=None).groupBy(S.close_time_missing("end_ts").alias("missing")).agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -311,15 +330,15 @@ def current_sql(where: str = "true", limit: int = 200) -> str:
   {mph("observed_speed_mps")} AS current_speed_mph, observed_count, {iso("updated_at")} AS updated_at, start_ts FROM current WHERE {where} ORDER BY current.updated_at DESC, incident_id LIMIT {limit}"""
 
 
-def raw_sql(where: str = "true", limit: int = 500) -> str:
+def raw_sql(where: str = "true", limit: int | None = 500) -> str:
     end = "CASE WHEN status = 'closed' AND end_ts > 0 THEN end_ts END"
     return f"""SELECT incident_id, segment_id, status, {iso("start_ts")} AS opened_at, {iso(end)} AS closed_at, severity, {mph("baseline_speed_mps")} AS baseline_speed_mph,
   {mph("observed_speed_mps")} AS current_speed_mph, observed_count, {iso("ingested_at")} AS ingested_at, start_ts, {end} AS end_ts
-  FROM (SELECT * FROM history WHERE {where} ORDER BY ingested_at DESC, incident_id, status LIMIT {limit})"""
+  FROM (SELECT * FROM history WHERE {where} {f"ORDER BY ingested_at DESC, incident_id, status LIMIT {limit}" if limit else ""})"""
 
 
-def distinct_sql(limit: int) -> str:
-    return f"""{HISTORY}, raw AS ({raw_sql(limit=limit)}),
+def distinct_sql() -> str:
+    return f"""{HISTORY}, raw AS ({raw_sql(limit=None)}),
 merged AS (SELECT incident_id, segment_id, status, first_value(opened_at) OVER n AS opened_at, closed_at, severity, baseline_speed_mph, current_speed_mph, observed_count, ingested_at,
   first_value(start_ts) OVER n AS start_ts, end_ts, row_number() OVER (PARTITION BY incident_id ORDER BY status = 'closed' DESC, ingested_at DESC) AS k
   FROM raw WINDOW n AS (PARTITION BY incident_id ORDER BY ingested_at DESC)),
@@ -348,7 +367,10 @@ def oracle_sql() -> dict[str, str]:
         "segment_id_grid": f"WITH {PINGS} SELECT {SEGMENT_SQL} AS segment_id, count(*) AS pings FROM pings GROUP BY 1",
         "accident_box": f"WITH {PINGS} SELECT event_id, vehicle_id FROM pings WHERE lat BETWEEN 47.605::DOUBLE AND 47.615::DOUBLE AND lon BETWEEN -122.340::DOUBLE AND -122.325::DOUBLE",
         "dedup_pings": f"{DOUBLED} SELECT vehicle_id, event_id, min(arrival_ms) AS arrival_ms FROM doubled GROUP BY 1, 2",
-        "dedup_ttl": f"{DOUBLED} SELECT vehicle_id, count(*) AS kept FROM doubled GROUP BY 1",
+        "dedup_ttl": f"""WITH RECURSIVE {PINGS}, arrivals AS (SELECT vehicle_id, event_id, timestamp_ms + d AS arr FROM pings, (VALUES {", ".join(f"({x})" for x in (0, *REPEATS_MS))}) v(d) WHERE d = 0 OR n % 50 = 0),
+  kept AS (SELECT vehicle_id, event_id, min(arr) AS arr FROM arrivals GROUP BY ALL
+  UNION ALL SELECT k.vehicle_id, k.event_id, min(a.arr) FROM kept k JOIN arrivals a ON a.vehicle_id = k.vehicle_id AND a.event_id = k.event_id AND a.arr > k.arr + {TTL_MS} GROUP BY ALL)
+  SELECT vehicle_id, event_id, arr AS arrival_ms FROM kept""",
         "dedup_cap": f"WITH {PINGS} SELECT vehicle_id, event_id FROM pings QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY timestamp_ms DESC, event_id DESC) <= 64",
         "severity": f"{m} SELECT segment_id, window_end_ms, {severity_sql('300::DOUBLE', 'avg_speed_mps', 'ping_count')} AS severity FROM metrics",
         "ema_baseline": f"""WITH RECURSIVE {M3}, steps AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY window_end_ms) AS k FROM metrics),
@@ -362,19 +384,21 @@ def oracle_sql() -> dict[str, str]:
         "view_current_filtered": f"{HISTORY} {current_sql(f'severity >= {LEAST}', 2)}",
         "view_history_raw": f"{HISTORY} {raw_sql(limit=100)}",
         "view_history_since": f"{HISTORY} {raw_sql(f'''segment_id = '{SEGMENT}' AND (start_ts >= {SINCE_MS} OR coalesce(end_ts, start_ts) >= {SINCE_MS})''')}",
-        "view_history_distinct": f"{distinct_sql(101)} SELECT * FROM merged_rows",
+        "view_history_distinct": f"{distinct_sql()} SELECT * FROM merged_rows",
         "summary_current": f"{HISTORY} {CURRENT_SUMMARY}",
         "summary_history": f"{HISTORY} {HISTORY_SUMMARY}",
         "summary_top_segment": f"{HISTORY} {TOP}",
         "dashboard_overview": f"""{HISTORY} SELECT {iso(str(NOW_MS) + '::BIGINT')} AS generated_at, c.*, h.opened_recently, t.segment_id AS top_segment, t.incident_count AS top_segment_incident_count,
   c.active_incidents AS current_incident_rows, h.history_event_rows, h.history_incidents FROM ({CURRENT_SUMMARY}) c, ({HISTORY_SUMMARY}) h, ({TOP}) t""",
+        "dashboard_cards": f"""{HISTORY} SELECT t.segment_id AS most_affected_segment, t.incident_count AS most_affected_count, c.active_incidents AS current_incident_rows, c.*, t.segment_id AS top_segment,
+  t.incident_count AS top_segment_incident_count, h.opened_recently FROM ({CURRENT_SUMMARY}) c, ({HISTORY_SUMMARY}) h, ({TOP}) t""",
         "dashboard_overview_rows": f"{HISTORY} SELECT c.*, h.opened_recently, t.segment_id AS top_segment, t.incident_count AS top_segment_incident_count, h.history_event_rows, h.history_incidents FROM ({CURRENT_SUMMARY}) c, ({HISTORY_SUMMARY}) h, ({TOP}) t",
-        "incidents_per_minute": f"{distinct_sql(5000)} SELECT start_ts - start_ts % 60000 AS minute_ms, count(*) AS incidents FROM merged_rows GROUP BY 1",
-        "severity_histogram": f"{HISTORY} " + " UNION ALL ".join(f"SELECT {a} AS bin_start, count(*) AS incidents FROM history WHERE status = 'open' AND severity >= {a}" + (f" AND severity < {b}" if b else "") for a, b in zip(dashboard.BINS, [*dashboard.BINS[1:], None], strict=True)),
-        "top_segments": f"{distinct_sql(5000)} SELECT segment_id, count(*) AS incidents FROM merged_rows GROUP BY 1 ORDER BY incidents DESC, segment_id LIMIT 3",
-        "browser_latest": f"""{HISTORY}, raw AS ({raw_sql(limit=101)}) SELECT incident_id AS incident_key, segment_id, status, severity, start_ts, end_ts FROM raw
+        "incidents_per_minute": f"{distinct_sql()} SELECT start_ts - start_ts % 60000 AS minute_ms, count(*) AS incidents FROM merged_rows GROUP BY 1",
+        "severity_histogram": f"{HISTORY} " + " UNION ALL ".join(f"SELECT {a} AS bin_start, count(*) AS incidents FROM current WHERE severity >= {a}" + (f" AND severity < {b}" if b else "") for a, b in zip(dashboard.BINS, [*dashboard.BINS[1:], None], strict=True)),
+        "top_segments": f"{distinct_sql()} SELECT segment_id, count(*) AS incidents FROM merged_rows GROUP BY 1 ORDER BY incidents DESC, segment_id LIMIT 3",
+        "browser_latest": f"""{HISTORY}, raw AS ({raw_sql(limit=None)}) SELECT incident_id AS incident_key, segment_id, status, severity, start_ts, end_ts FROM raw
   QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY status = 'closed' DESC, {SORT} DESC, severity DESC, ingested_at DESC) = 1""",
-        "recent_history_50": f"{distinct_sql(5000)} SELECT incident_id, status, {SORT} AS sort_ms FROM merged_rows ORDER BY sort_ms DESC, incident_id LIMIT 50",
+        "recent_history_50": f"{distinct_sql()} SELECT incident_id, status, {SORT} AS sort_ms FROM merged_rows ORDER BY sort_ms DESC, incident_id LIMIT 50",
         "current_by_severity": f"{HISTORY} SELECT incident_id, severity, CASE WHEN severity >= 7 THEN 'high' WHEN severity >= 4 THEN 'mid' ELSE 'low' END AS badge FROM current",
         "selected_segment_speed": f"{HISTORY} SELECT segment_id, current_speed_mph, baseline_speed_mph FROM ({current_sql()}) WHERE segment_id = '{SELECTED}' ORDER BY updated_at DESC, incident_id LIMIT 1",
         "segment_union": f"{HISTORY} SELECT segment_id FROM current UNION SELECT segment_id FROM history",

@@ -36,13 +36,14 @@ def current_view(current: DataFrame, segment_id: str | None = None, min_severity
     )
 
 
-def history_raw(history: DataFrame, segment_id: str | None = None, since_ms: int | None = None, limit: int = 500, python_rounding: bool = False) -> DataFrame:
-    """The newest event rows; close times only on closed ones, and only positive."""
-    bounded("limit", limit, 1, 5000)
+def history_raw(history: DataFrame, segment_id: str | None = None, since_ms: int | None = None, limit: int | None = 500, python_rounding: bool = False) -> DataFrame:
+    """The newest event rows, all without a limit; close times only on closed ones, and only positive."""
+    if limit is not None:
+        bounded("limit", limit, 1, 5000)
     rows = _matching(history, segment_id)
     if since_ms is not None:
         rows = rows.where((F.col("start_ts") >= since_ms) | (F.coalesce("end_ts", "start_ts") >= since_ms))
-    top = rows.orderBy(F.desc("ingested_at"), "incident_id", "status").limit(limit)
+    top = rows if limit is None else rows.orderBy(F.desc("ingested_at"), "incident_id", "status").limit(limit)
     status = S.normalized_status("status")
     closed = F.when((status == "closed") & (F.col("end_ts") > 0), F.col("end_ts"))
     return top.select(
@@ -55,9 +56,10 @@ def history_raw(history: DataFrame, segment_id: str | None = None, since_ms: int
 def history_distinct(rows: DataFrame) -> DataFrame:
     """One row per incident of history_raw's rows: the newest closed one if any, else the newest; the start that the newest
     row knows; the close time of the first closed row that has one. Rows without an id stay by themselves."""
-    # The place of a row in the whole names it if it has no id; history_raw's limit bounds the rows.
-    place = F.row_number().over(Window.orderBy(F.desc("ingested_at"), "incident_id", "status")) - 1
-    keyed = rows.withColumn("incident_id", F.coalesce(F.nullif("incident_id", F.lit("")), F.concat(F.lit("_row_"), place.cast("string"))))
+    # A row without an id is named by its place among those rows; all others are numbered within their id, at no one task's cost.
+    own = F.nullif("incident_id", F.lit(""))
+    place = F.row_number().over(Window.partitionBy(F.coalesce(own, F.lit(""))).orderBy(F.desc("ingested_at"), "status", "start_ts")) - 1
+    keyed = rows.withColumn("incident_id", F.coalesce(own, F.concat(F.lit("_row_"), place.cast("string"))))
     rest = [c for c in rows.columns if c != "incident_id"]
     closed = F.col("status") == "closed"
     best = keyed.groupBy("incident_id").agg(

@@ -14,13 +14,21 @@ VEHICLES = 50
 START_BOX = ((47.61, 0.02), (-122.33, 0.03))
 
 
-def json_lines(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
-    """Raw records as value STRING, one a line; as a stream, so many new files a batch. Without a number a batch takes all
+def json_lines(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int | None = None, multiline: bool = False) -> DataFrame:
+    """Raw records as value STRING, one a line, or with multiline one a file; as a stream, so many new files a batch. Without a number a batch takes all
     new files, which keeps together what one batch of an earlier job wrote: its files are in no order of event time."""
     if stream:
         reader = spark.readStream if files_per_trigger is None else spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
-        return reader.text(path)
-    return spark.read.text(path)
+        return reader.text(path, wholetext=multiline)
+    return spark.read.text(path, wholetext=multiline)
+
+
+def jdbc(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] = (0, 0), slices: int = 1) -> DataFrame:
+    """A database's table, for instance the history where another service keeps it; by ranges of a numeric key in so many reads."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table)
+    if key:
+        reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=slices)
+    return reader.load()
 
 
 def json_objects(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -55,11 +63,11 @@ def _uniform(salt: int, low: float = 0.0, high: float = 1.0):
     return F.lit(low) + F.lit(high - low) * F.pmod(F.xxhash64("vehicle", "tick", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def generated(spark: SparkSession, ticks: int, start_ms: int = 1_710_000_000_000, vehicles: int = VEHICLES, accident_start_s: int = 60, duplicates: float = 0.02, late: float = 0.02, slices: int | None = None) -> DataFrame:
+def generated(spark: SparkSession, ticks: int, start_ms: int = 1_710_000_000_000, vehicles: int = VEHICLES, accident_start_s: int = 60, duplicates: float = 0.02, late: float = 0.02, slices: int | None = None, marked: bool = False) -> DataFrame:
     """Pings of random walks, a tick a second: slow in the accident box from accident_start_s on, some twice, some moved back in time.
 
     Every draw is a hash of vehicle and tick, so that a lost task makes the same rows again. A walk is a sum of three waves
-    of its own periods, which needs no state between ticks.
+    of its own periods, which needs no state between ticks. marked: a column late tells which records were moved back.
     """
     rows = spark.range(0, ticks * vehicles, 1, slices).select((F.col("id") % vehicles).alias("vehicle"), F.floor(F.col("id") / vehicles).alias("tick"))
     own = lambda salt: F.pmod(F.xxhash64("vehicle", F.lit(salt)), F.lit(1000)) / F.lit(1000.0)
@@ -74,12 +82,13 @@ def generated(spark: SparkSession, ticks: int, start_ms: int = 1_710_000_000_000
     back = F.when(_uniform(73) < late, _uniform(74, 500.0, 5000.0)).otherwise(F.lit(0.0)).cast("long")
     pings = placed.select(
         F.concat(F.lit("veh-"), F.col("vehicle")).alias("vehicle_id"), F.md5(F.concat_ws(":", "vehicle", "tick")).alias("event_id"),
-        (F.lit(start_ms) + F.col("tick") * 1000 - back).alias("timestamp_ms"), "lat", "lon", speed.alias("speed_mps"), F.when(_uniform(75) < duplicates, 2).otherwise(1).alias("copies"),
+        (F.lit(start_ms) + F.col("tick") * 1000 - back).alias("timestamp_ms"), "lat", "lon", speed.alias("speed_mps"), F.when(_uniform(75) < duplicates, 2).otherwise(1).alias("copies"), *([(back > 0).alias("late")] if marked else []),
     )
     return pings.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
 
 
-def to_json(pings: DataFrame) -> DataFrame:
-    """Pings in their wire form."""
+def to_json(pings: DataFrame, keyed: bool = False) -> DataFrame:
+    """Pings in their wire form; keyed: with the vehicle as the record's key, which keeps a vehicle's records in one partition."""
     names = [("vehicle_id", "vehicleId"), ("event_id", "eventId"), ("timestamp_ms", "timestampMs"), ("lat", "lat"), ("lon", "lon"), ("speed_mps", "speedMps")]
-    return pings.select(F.to_json(F.struct(*(F.col(a).alias(b) for a, b in names))).alias("value"))
+    key = [F.col("vehicle_id").alias("key")] if keyed else []
+    return pings.select(*key, F.to_json(F.struct(*(F.col(a).alias(b) for a, b in names))).alias("value"))

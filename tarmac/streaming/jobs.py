@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from tarmac import schemas
 from tarmac.functions import scalars as S
 from tarmac.operators import fsm, parse, tables, windows
 from tarmac.sources import pings as sources
@@ -31,7 +32,9 @@ class Options:
     every: str = "10 seconds"
     window: str = "10 seconds"
     dedup_ttl_ms: int = 600_000
-    exact_dedup: bool = False
+    exact_dedup: bool = True  # duplicates removed within the time to live; false: the source has none
+    by_clock: bool = False  # pending closes also fall due by the clock
+    multiline: bool = False  # one object a file, over several lines
     alpha: float = fsm.Rules.alpha
     open_ratio: float = fsm.Rules.open_ratio
     close_ratio: float = fsm.Rules.close_ratio
@@ -61,7 +64,7 @@ class Options:
 
 
 def raw(spark: SparkSession, o: Options, earliest: bool = False) -> DataFrame:
-    return sources.kafka(spark, o.servers, o.source, o.group, earliest) if o.servers else sources.json_lines(spark, o.source, stream=True)
+    return sources.kafka(spark, o.servers, o.source, o.group, earliest) if o.servers else sources.json_lines(spark, o.source, stream=True, multiline=o.multiline)
 
 
 def out(rows: DataFrame, o: Options) -> StreamingQuery:
@@ -71,16 +74,22 @@ def out(rows: DataFrame, o: Options) -> StreamingQuery:
     return rows.select("value").writeStream.format("text").option("path", o.sink).option("checkpointLocation", o.checkpoint).outputMode("append").trigger(**({"processingTime": o.every} if o.every != "once" else {"availableNow": True})).start()
 
 
-def metrics_job(spark: SparkSession, o: Options) -> StreamingQuery:
-    pings = parse.pings(raw(spark, o), observe="drops")
+def metrics_job(spark: SparkSession, o: Options) -> StreamingQuery | pipeline.Chain:
+    pings, first = parse.pings(raw(spark, o), observe="drops"), None
     if o.exact_dedup:
-        pings = pipeline.first_arrivals(pings, o.dedup_ttl_ms)
+        # A query of its own, as the processor's timers are on processing time; it hands on by files.
+        once, path = o.every == "once", f"{o.checkpoint}-arrivals"
+        first = pipeline.to_files(pipeline.first_arrivals(pings, o.dedup_ttl_ms), path, f"{o.checkpoint}-arrivals-state", None if once else o.every, clocked=True)
+        if once:
+            first.awaitTermination()
+        pings = spark.readStream.schema(schemas.PING).parquet(path)
     located = pings.withColumn("segment_id", S.segment_id("lat", "lon"))
-    return out(windows.metrics_json(pipeline.metrics(located, o.window, dedup=not o.exact_dedup)), o)
+    second = out(windows.metrics_json(pipeline.metrics(located, o.window)), o)
+    return pipeline.Chain(first, second) if first is not None and o.every != "once" else second
 
 
 def incidents_job(spark: SparkSession, o: Options) -> StreamingQuery:
-    return out(tables.incidents_json(pipeline.incidents(parse.metrics(raw(spark, o)), o.rules)), o)
+    return out(tables.incidents_json(pipeline.incidents(parse.metrics(raw(spark, o)), o.rules, o.by_clock)), o)
 
 
 def ping_counts_job(spark: SparkSession, o: Options) -> StreamingQuery:
@@ -95,9 +104,11 @@ JOBS = {"metrics": metrics_job, "incidents": incidents_job, "ping-counts": ping_
 
 
 def producer_counts(pings: DataFrame, window_ms: int = 10_000) -> DataFrame:
-    """What a generator reports of each window: events, records, duplicates, records that go back in time by more than a tick, and records a second."""
+    """What a generator reports of each window: events, records, duplicates, records marked as moved back in time (late; none
+    without such a column), and records a second."""
     rows = pings.withColumn("window_end_ms", windows.window_start("timestamp_ms", window_ms) + window_ms)
-    found = rows.groupBy("window_end_ms").agg(F.count("*").alias("records"), F.count_distinct("event_id").alias("events"), F.count_if(F.col("timestamp_ms") % 1000 != 0).alias("late"))
+    moved = F.count_if("late") if "late" in pings.columns else F.lit(0).cast("long")
+    found = rows.groupBy("window_end_ms").agg(F.count("*").alias("records"), F.count_distinct("event_id").alias("events"), moved.alias("late"))
     return found.select("window_end_ms", "events", "records", (F.col("records") - F.col("events")).alias("duplicates"), "late", (F.col("records") / F.lit(window_ms / 1000)).alias("rate"))
 
 

@@ -1,7 +1,8 @@
 """The same definitions as streams: pings to metrics, metrics to incidents, incidents to tables.
 
 Each stage is a query of its own with a checkpoint, and hands on by files (or Kafka), so that a restart goes on where it was
-and file sinks are exactly-once. Duplicates are dropped before the watermark, so that late rows of open windows count.
+and file sinks are exactly-once. Duplicates are dropped before the watermark, by a processor whose state has a time to live, so
+that late rows of open windows count.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tarmac import schemas
 from tarmac.operators import fsm, tables
-from tarmac.operators.dedup import KEY, LIVE_IDS
+from tarmac.operators.dedup import LIVE_IDS
 
 LAG = "5 seconds"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,10 +31,10 @@ def with_state_store(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def metrics(pings: DataFrame, window: str = "10 seconds", segment: str = "segment_id", lag: str = LAG, dedup: bool = True, scale: int | None = None) -> DataFrame:
-    """Metrics of closed windows, each once; keeps the window column, through which event time goes on."""
-    rows = pings.dropDuplicates(KEY) if dedup else pings
-    rows = rows.withColumn("ts", F.timestamp_millis("timestamp_ms")).withWatermark("ts", lag)
+def metrics(pings: DataFrame, window: str = "10 seconds", segment: str = "segment_id", lag: str = LAG, scale: int | None = None) -> DataFrame:
+    """Metrics of closed windows, each once; keeps the window column, through which event time goes on. Late rows of a closed
+    window are dropped, those of an open one count. Duplicates are the caller's to drop before (first_arrivals)."""
+    rows = pings.withColumn("ts", F.timestamp_millis("timestamp_ms")).withWatermark("ts", lag)
     total = F.sum(F.col("speed_mps").cast(f"decimal(18,{scale})")).cast("double") if scale is not None else F.sum("speed_mps")
     found = rows.groupBy(F.col(segment).alias("segment_id"), F.window("ts", window)).agg(F.count("*").alias("ping_count"), (total / F.count("*")).alias("avg_speed_mps"), F.min("speed_mps").alias("min_speed_mps"), F.max("speed_mps").alias("max_speed_mps"))
     return found.select("segment_id", F.unix_millis("window.start").alias("window_start_ms"), F.unix_millis("window.end").alias("window_end_ms"), "ping_count", "avg_speed_mps", "min_speed_mps", "max_speed_mps", "window")
@@ -89,13 +90,49 @@ class Incidents(StatefulProcessor):
         pass
 
 
-def incidents(metric_rows: DataFrame, rules: fsm.Rules = fsm.Rules()) -> DataFrame:
-    """Incident events of a stream of metrics."""
+def incidents(metric_rows: DataFrame, rules: fsm.Rules = fsm.Rules(), by_clock: bool = False) -> DataFrame:
+    """Incident events of a stream of metrics. by_clock: pending closes fall due by the processing time, too; one operator has
+    timers of one kind only, so that event time then moves with a segment's own metrics."""
+    if by_clock:
+        plain = metric_rows.select("segment_id", "window_end_ms", "ping_count", "avg_speed_mps")
+        return plain.groupBy("segment_id").transformWithState(IncidentsByClock(rules), schemas.INCIDENT, "Append", "ProcessingTime")
     lag = f"{rules.lag_ms} milliseconds"
     rows = metric_rows.withColumn("end_ts", F.timestamp_millis("window_end_ms")).withWatermark("end_ts", lag)
     return rows.select("segment_id", "window_end_ms", "ping_count", "avg_speed_mps", "end_ts").groupBy("segment_id").transformWithState(Incidents(rules), schemas.INCIDENT, "Append", "EventTime")
 
 
+class IncidentsByClock(Incidents):
+    """The same, where a close that is pending also falls due by the clock, hold_ms after the recovery arrived: a stream that
+    brings no data at all still closes. Whichever is due first closes; metrics that arrive carry event time on as before."""
+
+    STATE = Incidents.STATE + ", timer long"
+
+    def load(self) -> fsm.State:
+        held = self.cell.get() if self.cell.exists() else (None,) * 6
+        self.timer = held[5]
+        return fsm.State(*held[:5])
+
+    def store(self, state: fsm.State, pending: int | None) -> None:
+        if state.close_at != pending:
+            if self.timer is not None:
+                self.handle.deleteTimer(self.timer)
+            self.timer = None if state.close_at is None else self.now + self.rules.hold_ms
+            if self.timer is not None:
+                self.handle.registerTimer(self.timer)
+        self.cell.update((state.baseline, state.start, state.close_at, state.speed, state.count, self.timer))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        self.now = timerValues.getCurrentProcessingTimeInMs()
+        yield from super().handleInputRows(key, rows, timerValues)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        state = self.load()
+        if self.timer == expiredTimerInfo.getExpiryTimeInMs() and state.close_at is not None:
+            closed = fsm.fire(key[0], state, state.close_at)
+            self.cell.update((state.baseline, state.start, state.close_at, state.speed, state.count, None))
+            yield Row(**dict(zip(self.NAMES, closed, strict=True)))
+
+
 class FirstArrivals(StatefulProcessor):
     """A vehicle's live event ids with the processing time they were first seen at. An id is dropped while it lives; duplicates
     don't extend it. At most every cleanup_ms ids beyond the newest LIVE_IDS are evicted."""
@@ -125,65 +162,127 @@ class FirstArrivals(StatefulProcessor):
         pass
 
 
-def first_arrivals(pings: DataFrame, ttl_ms: int = 600_000) -> DataFrame:
-    """Exact duplicate removal with a time to live, ahead of any watermark."""
+def first_arrivals(pings: DataFrame, ttl_ms: int = 600_000, live: int = LIVE_IDS) -> DataFrame:
+    """Duplicate removal with a time to live, ahead of any watermark; a vehicle's state is bounded by it and by live."""
     names = [x.split()[0] for x in schemas.PING.split(", ")]
-    return pings.select(names).groupBy("vehicle_id").transformWithState(FirstArrivals(ttl_ms), schemas.PING, "Append", "ProcessingTime")
+    return pings.select(names).groupBy("vehicle_id").transformWithState(FirstArrivals(ttl_ms, live=live), schemas.PING, "Append", "ProcessingTime")
 
 
-def to_files(rows: DataFrame, path: str, checkpoint: str, every: str | None = "10 seconds") -> StreamingQuery:
-    """An exactly-once file sink; without an interval it takes all there is and ends."""
+NO_DATA = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def to_files(rows: DataFrame, path: str, checkpoint: str, every: str | None = "10 seconds", clocked: bool = False) -> StreamingQuery:
+    """An exactly-once file sink; without an interval it takes all there is and ends. clocked: the rows come from a processor
+    on processing time, which asks for batches without data for ever; a query that is to end must not run them."""
+    spark = rows.sparkSession
     writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    if every:
+        return writer.trigger(processingTime=every).start()
+    before = spark.conf.get(NO_DATA)
+    spark.conf.set(NO_DATA, str(before == "true" and not clocked).lower())
+    try:
+        return writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(NO_DATA, before)
 
 
-def to_kafka(rows: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
-    """value STRING to a topic; Spark's Kafka sink is at-least-once, so readers drop repeats by key."""
-    return rows.select("value").writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
+class Chain:
+    """Two queries, of which the second reads what the first writes, awaited as one."""
+
+    def __init__(self, first: StreamingQuery, second: StreamingQuery):
+        self.queries = (first, second)
+
+    def awaitTermination(self) -> None:
+        """Returns when both have ended, fails when one does; then the other is stopped."""
+        try:
+            while any(q.isActive for q in self.queries):
+                for q in self.queries:
+                    q.awaitTermination(1)
+            for q in self.queries:
+                q.awaitTermination()
+        finally:
+            for q in self.queries:
+                q.stop()
+
+
+#: The producer's settings: every replica confirms, failures are tried again, records wait a little for company.
+PRODUCER = {"kafka.acks": "all", "kafka.retries": "5", "kafka.linger.ms": "20"}
+
+
+def to_kafka(rows: DataFrame, servers: str, topic: str, checkpoint: str | None = None) -> StreamingQuery | None:
+    """Records to a topic, with their key if they have one; a table is written at once. Spark's Kafka sink is at-least-once,
+    so readers drop repeats by key."""
+    options = {"kafka.bootstrap.servers": servers, "topic": topic} | PRODUCER
+    records = rows.select(*(c for c in ("key", "value") if c in rows.columns))
+    if not rows.isStreaming:
+        return records.write.format("kafka").options(**options).save()
+    return records.writeStream.format("kafka").options(**options).option("checkpointLocation", checkpoint).start()
 
 
 class Tables:
-    """The history, one folder a batch, and the open incidents, one folder a version, kept by foreachBatch.
+    """The history, one folder a batch and within it one for each hash bucket of ids, and the open incidents, one folder a
+    version, kept by foreachBatch.
 
-    A batch writes under its own id, so a replay overwrites what it wrote before; what other batches hold is not added again.
-    The open incidents follow from what is new to the history only, so that a replayed open doesn't come back after its close.
+    A batch writes under its own id, so a replay overwrites what it wrote before; what other batches hold is not added again,
+    for which only the buckets of its ids are read. The open incidents follow from what is new to the history only, so that a
+    replayed open doesn't come back after its close. Snapshots before the last finished one are deleted.
     """
 
-    def __init__(self, path: str):
-        self.path = path
+    HISTORY = schemas.HISTORY + ", batch long, bucket int"
+    CURRENT = schemas.CURRENT + ", batch long"
+
+    def __init__(self, path: str, buckets: int = 64):
+        self.path, self.buckets = path, buckets
+
+    def _at(self, spark: SparkSession, path: str):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _read(self, spark: SparkSession, path: str, schema: str) -> DataFrame:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-        return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+        at, store = self._at(spark, path)
+        return spark.read.schema(schema).parquet(path) if store.exists(at) else spark.createDataFrame([], schema)
+
+    def _done(self, spark: SparkSession, before: int | None = None) -> int:
+        """The greatest finished batch, -1 for none."""
+        rows = self._read(spark, f"{self.path}/done", "batch long")
+        last = (rows if before is None else rows.where(F.col("batch") < before)).agg(F.max("batch")).first()[0]
+        return -1 if last is None else last
 
     def history(self, spark: SparkSession) -> DataFrame:
-        return self._read(spark, f"{self.path}/history", schemas.HISTORY + ", batch long").drop("batch")
+        return self._read(spark, f"{self.path}/history", self.HISTORY).drop("batch", "bucket")
 
     def current(self, spark: SparkSession) -> DataFrame:
         """The snapshot of the greatest finished batch."""
-        rows = self._read(spark, f"{self.path}/current", schemas.CURRENT + ", batch long")
-        done = self._read(spark, f"{self.path}/done", "batch long")
-        last = done.agg(F.max("batch")).first()[0]
-        return rows.where(F.col("batch") == (-1 if last is None else last)).drop("batch")
+        return self._read(spark, f"{self.path}/current", self.CURRENT).where(F.col("batch") == self._done(spark)).drop("batch")
 
     def __call__(self, events: DataFrame, batch: int) -> None:
         spark = events.sparkSession
-        earlier = self._read(spark, f"{self.path}/history", schemas.HISTORY + ", batch long").where(F.col("batch") != batch)
-        fresh = tables.history(events).join(earlier.select(schemas.HISTORY_KEY), schemas.HISTORY_KEY, "left_anti").persist()
+        bucket = F.pmod(F.xxhash64("incident_id"), F.lit(self.buckets)).cast("int")
+        arrived = tables.history(events).withColumn("bucket", bucket).persist()
         try:
-            fresh.write.mode("overwrite").parquet(f"{self.path}/history/batch={batch}")
-            snapshots = self._read(spark, f"{self.path}/current", schemas.CURRENT + ", batch long").where(F.col("batch") < batch)
-            before = self._read(spark, f"{self.path}/done", "batch long").where(F.col("batch") < batch).agg(F.max("batch")).first()[0]
+            own = [r[0] for r in arrived.select("bucket").distinct().collect()]  # no more than there are buckets
+            earlier = self._read(spark, f"{self.path}/history", self.HISTORY).where((F.col("batch") != batch) & F.col("bucket").isin(own))
+            fresh = arrived.join(earlier.select(schemas.HISTORY_KEY), schemas.HISTORY_KEY, "left_anti").persist()
+            fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/history/batch={batch}")
+            before = self._done(spark, batch)
             closed = fresh.where("status = 'closed'").select("incident_id")
-            opened = tables.current(fresh.where("status = 'open'"))
-            kept = snapshots.where(F.col("batch") == (-1 if before is None else before)).drop("batch").join(opened.select("incident_id"), "incident_id", "left_anti")
+            opened = tables.current(fresh.where("status = 'open'").drop("bucket"))
+            kept = self._read(spark, f"{self.path}/current", self.CURRENT).where(F.col("batch") == before).drop("batch").join(opened.select("incident_id"), "incident_id", "left_anti")
             names = [x.split()[0] for x in schemas.CURRENT.split(", ")]
             kept.select(names).union(opened.select(names)).join(closed, "incident_id", "left_anti").select(names).write.mode("overwrite").parquet(f"{self.path}/current/batch={batch}")
             spark.range(1).withColumnRenamed("id", "ok").write.mode("overwrite").parquet(f"{self.path}/done/batch={batch}")
-        finally:
             fresh.unpersist()
+        finally:
+            arrived.unpersist()
+        self._clean(spark, before)
+
+    def _clean(self, spark: SparkSession, last: int) -> None:
+        """Deletes snapshots older than last, which a reader may still hold."""
+        at, store = self._at(spark, f"{self.path}/current")
+        for found in store.listStatus(at):
+            number = found.getPath().getName().removeprefix("batch=")
+            if number.isdigit() and int(number) < last:
+                store.delete(found.getPath(), True)
 
 
 def to_tables(events: DataFrame, path: str, checkpoint: str, every: str | None = "10 seconds") -> StreamingQuery:

@@ -2,7 +2,8 @@
 
 import pytest
 
-from tarmac.operators import fsm
+from tarmac import schemas
+from tarmac.operators import fsm, parse
 from tarmac.sources import pings as sources
 from tarmac.streaming import jobs, pipeline
 
@@ -29,3 +30,24 @@ def test_jobs_by_files(spark, tmp_path):
     history = {(r.status, r.start_ts, r.end_ts) for r in sink.history(spark).collect()}
     assert history == {("open", 1710000030000, 0), ("closed", 1710000030000, 1710000050000)} and sink.current(spark).count() == 0
     assert jobs.producer_counts(pings).agg({"records": "sum"}).first()[0] == len(lines)
+
+
+def test_producer_counts(spark):
+    """Marked records are counted wherever the generator starts."""
+    for start in (1_710_000_000_000, 1_710_000_000_123):
+        made = sources.generated(spark, 40, start, marked=True)
+        found = jobs.producer_counts(made).agg({"late": "sum", "duplicates": "sum", "records": "sum"}).first()
+        assert found["sum(late)"] == made.where("late").count() > 0 and found["sum(records)"] == made.count()
+    assert sources.to_json(made, keyed=True).columns == ["key", "value"]
+
+
+def test_golden_story_from_files(spark, tmp_path):
+    """One multi-line object a file, read as metrics, through the state machine."""
+    ends = [(1710000010000, 8, 24.0), (1710000020000, 8, 23.5), (1710000030000, 9, 14.0), (1710000050000, 8, 21.0), (1710000080000, 8, 24.0)]
+    for k, (end, n, speed) in enumerate(ends):
+        text = f'{{\n  "segmentId": "I5-NB-42",\n  "windowStartMs": {end - 10000},\n  "windowEndMs": {end},\n  "count": {n},\n  "avgSpeedMps": {speed},\n  "minSpeedMps": {speed - 2},\n  "maxSpeedMps": {speed + 2}\n}}\n'
+        (tmp_path / f"{k}.json").write_text(text)
+    metrics = parse.metrics(sources.json_lines(spark, str(tmp_path), multiline=True))
+    assert sources.json_objects(spark, str(tmp_path), schemas.METRIC_JSON).count() == metrics.count() == 5
+    found = [(r.status, r.start_ts, r.end_ts, r.severity, round(r.baseline_speed_mps, 2)) for r in fsm.incidents(metrics).orderBy("end_ts").collect()]
+    assert found == [("open", 1710000030000, 0, 3.3, 21.92), ("closed", 1710000030000, 1710000060000, 0.3, 21.92)]
