@@ -5,7 +5,7 @@ distinct words, in order, are the depth-first walk of their trie: what a word sh
 their common node. Each node holds one state, the last token of its prefix's encoding: the token that ends there and forms
 a right pair with the last token of the prefix before it. There is exactly one, since a token sequence is the encoding
 exactly if each two neighbours encode to themselves. So the states of shared prefixes are computed once, and following
-the last tokens back from a word's node gives its encoding. Words stay known to the worker up to a fixed number.
+the last tokens back from a word's node gives its encoding. Words stay known within a task, up to a fixed number.
 
 Null and empty texts encode to no ids. Repeated rows, ties and further columns need no care: each row is encoded by itself. A
 long text is one step of a task, at a few dozen bytes of memory a character. An empty table gives an empty result.
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .common import STEP_BYTES, by_bytes, id_text
+from .common import by_bytes, id_text
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-#: Distinct words that a worker remembers; beyond, it starts anew, which changes no result.
-KNOWN_WORDS = 800_000
+#: Distinct words that a task remembers; beyond, it starts anew, which changes no result.
+KNOWN_WORDS = 500_000
 _codecs: dict = {}
 _classes: dict = {}
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
@@ -194,11 +194,15 @@ class Codec:
             known[word] = tuple(ids)
             before = word
 
+    def forget(self) -> None:
+        """Gives back what a task has learnt: its worker goes on to other work."""
+        self.known.clear()
+        self.fits.clear()
+
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         fresh = sorted({w for w in words if w not in self.known})
         if len(self.known) + len(fresh) > KNOWN_WORDS:
-            self.known.clear()
-            self.fits.clear()
+            self.forget()
             fresh = sorted(set(words))
         self.walk(fresh)
         return [self.known[w] for w in words]
@@ -272,8 +276,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """doc_id, n_tokens, the digests of the ids and of the text decoded from them, and with keep_ids the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, limit=2 * STEP_BYTES):
+        for batch in by_bytes(batches):
             yield digests(batch, path, keep_ids)
+        codec(path).forget()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA + ", ids array<int>" * keep_ids)
 
@@ -285,6 +290,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         for batch in by_bytes(batches):
             ids, at = codec(path).encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), K.list_column(ids.astype(np.int32), at)], ["doc_id", "ids"])
+        codec(path).forget()
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
