@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .common import by_bytes, id_text
+from .common import by_bytes, give_back, id_text
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Distinct words that a task remembers; beyond, it starts anew, which changes no result.
@@ -198,11 +198,13 @@ class Codec:
         """Gives back what a task has learnt: its worker goes on to other work."""
         self.known.clear()
         self.fits.clear()
+        give_back()
 
     def encode_words(self, words: list[bytes]) -> list[tuple[int, ...]]:
         fresh = sorted({w for w in words if w not in self.known})
         if len(self.known) + len(fresh) > KNOWN_WORDS:
-            self.forget()
+            self.known.clear()
+            self.fits.clear()
             fresh = sorted(set(words))
         self.walk(fresh)
         return [self.known[w] for w in words]

@@ -79,6 +79,17 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
             yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the machine; its allocator would keep it through later stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def in_fold(id_col: str, modulus: int, remainder: int):
     """Whether crc32 of the id as text leaves this remainder."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder

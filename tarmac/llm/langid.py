@@ -2,12 +2,12 @@
 
 Each language has a zstandard raw-content dictionary made from a bounded sample of its texts, of each of which windows are
 drawn from its whole length, so that openings shared by all languages don't fill it. Languages are any number; they are held
-against a text in blocks. A text, as its distinct
-lower-cased words in order, so that its own repetitions don't count, is compressed in pieces with every dictionary; the
-smallest sum of sizes names the language. The score is the share of the runner-up's size that the winner saves, in 0 to 1;
-a narrow one is a rejection for callers that ask for it.
+against a text in blocks. A text, as its distinct lower-cased words in order, so that its own repetitions don't count, is
+compressed in pieces with every dictionary; the smallest sum of sizes names the language. The score is the share of the
+runner-up's size that the winner saves, in 0 to 1; where it or the bytes saved are few, callers that ask for it reject.
 
-Null texts and texts without a letter are UNDETERMINED with score 0. Ties go to the language with more training texts.
+Null texts and texts without a letter are UNDETERMINED with score 0. Ties go to the language with more training texts. Long
+texts are compressed piece by piece, one text a step; an empty table gives an empty result.
 Training rows without text or language are left out; without any, all texts are UNDETERMINED. Repeated rows and further
 columns change nothing.
 """
@@ -69,8 +69,8 @@ def prepared(text: str) -> str:
     return f" {' '.join(dict.fromkeys(text.lower().split()))} "
 
 
-def judge(dictionaries: dict[str, bytes]) -> Callable[[list[str | None]], list[tuple[str, float]]]:
-    """A function from texts to the language and score of each."""
+def judge(dictionaries: dict[str, bytes]) -> Callable[[list[str | None]], list[tuple[str, float, int]]]:
+    """A function from texts to the language and score of each, and the bytes that the winner saves."""
     import regex
     import zstandard as zstd
 
@@ -101,31 +101,33 @@ def judge(dictionaries: dict[str, bytes]) -> Callable[[list[str | None]], list[t
                 best, *rest = sorted([*sizes, *(x for x in least[i][:2] if x is not None)])[:2]
                 name = least[i][2] if best == least[i][0] else block[sizes.index(best)]
                 least[i] = (best, rest[0] if rest else None, name)
-        return [(name, 0.0 if best is None else 1.0 if second is None else 1.0 - best / second) for best, second, name in least]
+        alone = (1.0, 1 << 30)  # one language only: nothing to save on
+        return [(name, *((0.0, 0) if best is None else alone if second is None else (1.0 - best / second, second - best))) for best, second, name in least]
 
     return judged
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score of every whole text."""
+    sent = docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judged = judge(dictionaries)
+        judged = judge(sent.value)
         for batch in by_bytes(batches):
             found = judged(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x for x, _ in found]), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x[0] for x in found]), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
 
 
-def accepted(docs: DataFrame, dictionaries: dict[str, bytes], least_score: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is found with at least this score."""
-    at = docs.columns.index(text_col)
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], least_score: float, least_bytes: int = 0, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose language is found with at least this score and so many bytes saved."""
+    at, sent = docs.columns.index(text_col), docs.sparkSession.sparkContext.broadcast(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judged = judge(dictionaries)
+        judged = judge(sent.value)
         for batch in batches:
             found = judged(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([x != UNDETERMINED and score >= least_score for x, score in found], pa.bool_()))
+            yield batch.filter(pa.array([x != UNDETERMINED and score >= least_score and saved >= least_bytes for x, score, saved in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,8 +5,9 @@ their features. The threshold is the quantile of the training scores at the shar
 around it maps scores to 0 to 1, so that the threshold reads as CUT. Features cover whole texts and come from the text alone.
 
 Null and empty texts have the features of an empty text and a score like any other. Labels that are null, or whose document
-is missing, teach nothing; ids labelled twice count once, by the larger label. Without documents of both kinds every score
-is 1. Repeated rows and further columns change nothing.
+is missing, teach nothing; ids labelled twice count once, by the larger label. Where all labels are of one kind, every score is
+that kind's, 1 or 0; without any label it is a half. Equal texts have equal scores; a long text is one step of a task; an empty
+table gives an empty result. Repeated rows and further columns change nothing.
 """
 
 from __future__ import annotations
@@ -77,13 +78,15 @@ class Ranking:
     weights: np.ndarray
     threshold: float
     scale: float
+    #: What to answer where nothing was learnt: 1 or 0 if all labels were, a half without any.
+    plain: float = 0.5
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.spread, -8, 8) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.weights):
-            return np.ones(len(x))
+            return np.full(len(x), self.plain)
         z = (self.raw(x) - self.threshold) / self.scale + np.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -91,7 +94,7 @@ class Ranking:
 def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-3, steps: int = 25) -> Ranking:
     """Newton's method on the pairwise logistic loss."""
     if not good.any() or good.all():
-        return Ranking(np.zeros(0), np.ones(0), np.zeros(0), 0.0, 1.0)
+        return Ranking(np.zeros(0), np.ones(0), np.zeros(0), 0.0, 1.0, float(good.mean()) if len(good) else 0.5)
     mean, spread = x.mean(0), x.std(0)
     z = np.clip((x - mean) / np.where(spread > 0, spread, 1), -8, 8)
     rng = np.random.default_rng(5)

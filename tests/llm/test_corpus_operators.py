@@ -123,6 +123,30 @@ def test_repeated_rows_with_near_copies(spark):
     assert got == sorted((i, *expected[i]) for i, _ in rows)
 
 
+def test_null_ids_before_equal_texts(spark):
+    """A row without an id doesn't stand for its class."""
+    text = prose(random.Random(5), 80).split()
+    near = " ".join([*text[:40], "odd", *text[41:]])
+    for rows in ([(None, " ".join(text)), (1, " ".join(text)), (2, near)], [(1, " ".join(text)), (2, near), (None, " ".join(text))]):
+        got = ngram_join.jaccard_components(odd(spark, rows).coalesce(1), 3, 90).collect()
+        assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (1, 1), (2, 1)]
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Independent edits of one text around the threshold: no link is lost, whoever the hub is."""
+    rng = random.Random(12)
+    base = prose(rng, 120).split()
+    texts = {}
+    for i in range(1200):
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 3, 4, 5])):
+            words[at] = prose(rng, 1)
+        texts[i] = " ".join(words)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(odd(spark, list(texts.items())), 3, 90).collect()}
+    expected = brute_jaccard(texts, 3, 90)
+    assert len({c for _, c in expected.values()}) > 50 and got == expected
+
+
 def test_shingles_of_few_words(spark):
     """A whole step of fewer words than an n-gram has, down to none."""
     for k in range(6):
@@ -271,6 +295,27 @@ def test_contamination(spark):
     assert decontaminate.contaminated(odd(spark, []), bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_contamination_against_all_pairs(spark, sf_dir):
+    """Every document against every item by plain alignment of words: the same pairs."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    words = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower())
+    number: dict = collections.defaultdict(lambda: len(number))
+    as_array = lambda t: np.array([number[w] for w in words(t)], np.int64)
+    texts, expected = {i: as_array(t) for i, t in docs.items()}, set()
+    for k, t in items.items():
+        item = as_array(t)
+        for i, text in texts.items():
+            # An alignment needs more of the item's words in the text than a quarter of a whole copy's.
+            if np.isin(text, item).sum() * decontaminate.MATCH < decontaminate.LEAST_SCORE * decontaminate.MATCH * min(len(item), decontaminate.WHOLE_WORDS):
+                continue
+            best = decontaminate.align(item, text)[0] if len(text) else 0
+            if best >= decontaminate.LEAST_SCORE * decontaminate.MATCH * min(len(item), decontaminate.WHOLE_WORDS):
+                expected.add((i, k))
+    got = {(r.doc_id, r.item_id) for r in queries.op8_decontamination(spark, sf_dir).collect()}
+    assert got == expected and got
+
+
 def test_copies_found_often(spark):
     """An edited and a partial copy of an item stay found however many documents hold them."""
     rng = random.Random(11)

@@ -176,6 +176,47 @@ def test_quality_held_out(spark):
     assert sum(a == b for a, b in held) / len(held) >= 0.95 and all(0 <= r.score <= 1 for r in got)
 
 
+def test_quality_of_one_kind(spark):
+    docs = odd(spark, [(1, "a b c"), (2, ""), (3, None), (4, "a b c")])
+    for labels, expected in (([(1, 1), (2, 1)], 1.0), ([(1, 0), (2, 0), (4, 0)], 0.0), ([], 0.5), ([(9, 1), (1, None)], 0.5)):
+        ranking = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+        assert {r.score for r in quality.score(docs, ranking).collect()} == {expected}
+
+
+def test_language_against_plain_compression(spark, sf_dir):
+    """Each text against each dictionary, one by one."""
+    import regex
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs.where("doc_id % 3 <> 0"))
+    expected = {}
+    for r in docs.collect():
+        if not r.text or not regex.search(r"\p{L}", r.text):
+            expected[r.doc_id] = ("und", 0.0)
+            continue
+        words = " " + " ".join(dict.fromkeys(r.text.lower().split())) + " "
+        sizes = {}
+        for lang, content in model.items():
+            packer = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(packer.compress(words[k : k + langid.PIECE].encode())) for k in range(0, len(words), langid.PIECE))
+        best, second = sorted(sizes.values())[:2]
+        expected[r.doc_id] = (next(k for k in model if sizes[k] == best), 1 - best / second)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, model).collect()}
+    close = [abs(got[i][1] - s) < 0.02 and (got[i][0] == lang or s < 0.02) for i, (lang, s) in expected.items()]
+    assert got.keys() == expected.keys() and sum(close) >= 0.99 * len(close)
+
+
+def test_token_count_query(spark, sf_dir):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in queries.op9_token_counts(spark, sf_dir).collect()}
+    counts = {i: len(library.encode(t)) for i, t in texts.items()}
+    assert got == {i: (len(t.encode()), counts[i], counts[i] > 4096) for i, t in texts.items()}
+
+
 def test_pairwise_ranking_orders_documents():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 3))
