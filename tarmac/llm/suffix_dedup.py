@@ -278,25 +278,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twins = written(narrow.where(f"n_bytes >= {WINDOW}").groupBy(*key).agg(F.count("*").alias("n")).where("n >= 2").select(*key, F.lit(True).alias("twin")), "twins")
 
     places = anchored(base.where(F.octet_length("text") >= WINDOW))
-    again = written(places.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 2").select("gram"), "grams", release=True)
+    again = written(places.groupBy("gram").agg(F.count("*").alias("n")).where("n >= 2").select("gram"), "grams")
     wanted = places.join(again, "gram").groupBy(*key).agg(F.collect_set(F.struct("at", "gram")).alias("places"))
-    wanted = written(wanted, "places", release=True)
-    held = written(packed(base.where(F.octet_length("text") >= WINDOW)).join(wanted, key).select(*key, "packed", "places"), "candidates", release=True)
-    found = written(contexts(held), "contexts", release=True)
+    wanted = written(wanted, "places")
+    held = written(packed(base.where(F.octet_length("text") >= WINDOW)).join(wanted, key).select(*key, "packed", "places"), "candidates")
+    found = written(contexts(held), "contexts")
     around = ["gram", "c1", "c2"]
     distinct = found.groupBy(*around).agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("before", "lead", "context")))
-    distinct = written(distinct, "distinct-contexts", release=True)
+    distinct = written(distinct, "distinct-contexts")
     large = written(distinct.groupBy("gram").agg(F.count("*").alias("m")).where(f"m > {RUN}").select("gram"), "large-grams")
     if large.isEmpty():
         resolved = in_buckets(distinct)
     else:
         resolved = in_buckets(distinct.join(large, "gram", "left_anti")).union(by_counts(written(distinct.join(large, "gram", "left_semi").drop("lead"), "large-runs")).select("gram", "c1", "c2", "low", "high"))
-    resolved = written(resolved, "resolved", release=True)
+    resolved = written(resolved, "resolved")
     spans = found.select(*key, "at", *around).join(resolved, around).select(*key, F.struct((F.col("at") - F.col("high")).alias("s"), (F.col("at") - F.col("low") + WINDOW).alias("e")).alias("span"))
-    spans = written(spans.groupBy(*key).agg(F.collect_list("span").alias("spans")), "spans", release=True)
+    spans = written(spans.groupBy(*key).agg(F.collect_list("span").alias("spans")), "spans")
     cut = held.join(spans, key).join(twins, key, "left_anti").select(*key, "packed", "spans")
     cut = trimmed(cut).select(*key, "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    cut = written(cut.dropDuplicates(key), "trimmed", release=True)
+    cut = written(cut.dropDuplicates(key), "trimmed")
     out = narrow.join(twins, key, "left").join(cut, key, "left")
     none = hashlib.sha256(b"").hexdigest()
     return out.select(
