@@ -383,7 +383,27 @@ def test_model_scores(spark):
         w = words[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id in held, len(w), sum(counts[x] > 0 for x in w), total)
         assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 1) / (total + known + 1)) for x in w), rel=1e-9)
+        assert r.perplexity == pytest.approx(10 ** (-r.score / len(w)), rel=1e-9)
     assert sum(r.score for r in got if r.held_out) > sum(r.base_score for r in got if r.held_out)
+    scored = spark.createDataFrame([(r.held_out, r.n_tokens, r.base_score, r.score) for r in got], "held_out boolean, n_tokens long, base_score double, score double")
+    assert lm.held_out_perplexity(scored) < lm.held_out_perplexity(scored, "base_score")
+
+
+def test_frequent_words_of_any_batches(spark, monkeypatch):
+    """The same triggers however texts are cut: those of the counts over all."""
+    monkeypatch.setattr(lm, "TRIGGERS", 8)
+    monkeypatch.setattr(lm, "SHARE", 40)
+    rng = random.Random(3)
+    words = [prose(rng, 1) for _ in range(60)]
+    texts = [" ".join(rng.choices(words[k % 3 * 20 :], weights=range(1, 61 - k % 3 * 20), k=80)) for k in range(90)]
+    counts = collections.Counter(w for t in texts for w in t.split())
+    total = sum(counts.values())
+    some = {w: n for w, n in counts.items() if n * 40 >= total}
+    least = sorted(some.values(), reverse=True)[:8][-1]
+    found = [set(lm.frequent(odd(spark, list(enumerate(texts))).repartition(k)).tolist()) for k in (1, 7)]
+    hashed = lambda w: int(lm.tokens(pa.array([w], pa.large_string()))[0][0])
+    assert found[0] == found[1] and len(found[0]) == min(8, len(some))
+    assert {hashed(w) for w, n in some.items() if n > least} <= found[0] <= {hashed(w) for w, n in some.items() if n >= least}
 
 
 def test_probabilities_sum_to_one(spark, monkeypatch):
