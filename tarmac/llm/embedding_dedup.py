@@ -3,8 +3,8 @@
 The filters are the words of a random product code: after a random rotation the space is cut into blocks, each block has its
 own random unit vectors, and a filter is one of them from each block. A vector is decoded to the list of all filters whose
 direction it exceeds by the cap's height (its own best ones if none), without looking at the rest: sums of two halves of the
-blocks, sorted, are combined from the top. Vectors that share a filter are candidates; cosines decide. The code's size grows
-with the largest label, so that a filter holds a bounded share of unrelated vectors at any size.
+blocks, sorted, are combined from the top. Vectors that share a filter are candidates, each pair once; cosines decide. The
+code's size grows with the largest label, so that a filter holds a bounded share of unrelated vectors at any size.
 
 Equal vectors of a label are one class, and only classes are paired; the links of their members are counted from class sizes.
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label or id, link with
@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .common import dropped, written
 from .components import components
 
 #: Filters that a vector is decoded to, about; and how far below its best filter's score a vector is decoded at least.
-LIST_SIZE = 48
-MARGIN = 0.05
+LIST_SIZE = 24
+MARGIN = 0.03
 #: Filters for each vector of the largest label: an unrelated vector then shares a filter with one or two others on average.
 FILTERS = 32
 #: Sums of half codes that are held at once.
@@ -104,14 +105,17 @@ def near_links(embeddings: DataFrame, least_cosine: float = 0.98, id_col: str =
                     x = np.asarray(batch.column("v").take(pa.array(own)).flatten()).reshape(len(own), dim)
                     x = x / np.abs(x).max(axis=1, keepdims=True)
                     vector, found = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True))
-                    label = batch.column("label").take(pa.array(own[vector]))
-                    yield pa.RecordBatch.from_arrays([label, pa.array(np.full(len(found), dim, np.int32)), pa.array(found.astype(np.int64)), pa.array(cls[own[vector]])], ["label", "dim", "filter", "cls"])
+                    label, lists = batch.column("label").take(pa.array(own)), K.list_column(found.astype(np.int64), np.searchsorted(vector, np.arange(len(own) + 1)))
+                    yield pa.RecordBatch.from_arrays([label, pa.array(np.full(len(own), dim, np.int32)), lists, pa.array(cls[own])], ["label", "dim", "filters", "cls"])
 
     kind = dict(classes.dtypes)
-    listed = classes.select("label", "cls", "v").mapInArrow(decoded, f"label {kind['label']}, dim int, filter long, cls long")
+    listed = classes.select("label", "cls", "v").mapInArrow(decoded, f"label {kind['label']}, dim int, filters array<long>, cls long")
     listed = written(listed, "filters")
     key = ["label", "dim", "filter"]
-    pairs = listed.alias("x").join(listed.withColumnRenamed("cls", "other"), key).where("cls < other").select(F.col("cls").alias("a"), F.col("other").alias("b")).distinct()
+    each = listed.select("*", F.explode("filters").alias("filter"))
+    # Near vectors share many filters; a pair comes from the least of them only.
+    once = F.col("filter") == F.array_min(F.array_intersect("filters", "theirs"))
+    pairs = each.join(each.withColumnsRenamed({"cls": "other", "filters": "theirs"}), key).where((F.col("cls") < F.col("other")) & once).select(F.col("cls").alias("a"), F.col("other").alias("b"))
 
     def side(name: str) -> DataFrame:
         return classes.select(F.col("cls").alias(name), F.col("v").alias(f"v{name}"), F.col("n").alias(f"n{name}"))
