@@ -26,10 +26,12 @@ def _matching(rows: DataFrame, segment_id: str | None, min_severity: float | Non
     return rows
 
 
-def current_view(current: DataFrame, segment_id: str | None = None, min_severity: float | None = None, limit: int = 200, python_rounding: bool = False) -> DataFrame:
-    """The newest open incidents; ids break ties."""
-    bounded("limit", limit, 1, 1000)
-    top = _matching(current, segment_id, min_severity).orderBy(F.desc("updated_at"), "incident_id").limit(limit)
+def current_view(current: DataFrame, segment_id: str | None = None, min_severity: float | None = None, limit: int | None = 200, python_rounding: bool = False) -> DataFrame:
+    """The newest open incidents, all without a limit; ids break ties."""
+    if limit is not None:
+        bounded("limit", limit, 1, 1000)
+    rows = _matching(current, segment_id, min_severity)
+    top = rows if limit is None else rows.orderBy(F.desc("updated_at"), "incident_id").limit(limit)
     return top.select(
         "incident_id", "segment_id", F.lit("open").alias("status"), S.ms_to_iso("start_ts").alias("opened_at"), "severity", S.to_mph("baseline_speed_mps", python_rounding).alias("baseline_speed_mph"),
         S.to_mph("observed_speed_mps", python_rounding).alias("current_speed_mph"), "observed_count", S.ms_to_iso(F.unix_millis("updated_at")).alias("updated_at"), "start_ts",

@@ -40,9 +40,17 @@ def test_stream(spark, sf_dir, name):
     same(spark, sf_dir, replay.queries()[name], replay.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", ["dashboard_overview", "dashboard_cards"])
+@pytest.mark.parametrize("name", ["dashboard_overview", "dashboard_cards", "dashboard_overview_rows"])
 @pytest.mark.parametrize("rule", ["true", "false"])
 def test_no_incidents(spark, tmp_path, sf_dir, name, rule):
     """Events that never slow down, or none: the history is empty."""
     duckdb.sql(f"COPY (SELECT * REPLACE (5::DOUBLE AS value) FROM '{sf_dir}/events.parquet' WHERE {rule}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
     same(spark, str(tmp_path), catalog.queries()[name], catalog.oracle_sql()[name])
+
+
+def test_more_than_a_page(spark, tmp_path, sf_dir):
+    """250 segments slow down and stay so: the overview of rows counts them all."""
+    values = "SELECT 'p' || s AS event_type, k, CASE WHEN k < 8 THEN 30 ELSE 2 END AS speed FROM range(250) a(s), range(12) b(k)"
+    duckdb.sql(f"COPY (SELECT row_number() OVER () AS event_id, TIMESTAMP '2024-01-01' + to_hours((k // 4 * 3)::INT) AS ts, 1::BIGINT AS user_id, event_type, speed::DOUBLE AS value, '' AS props FROM ({values})) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    assert catalog.queries()["dashboard_overview_rows"](spark, str(tmp_path)).first().active_incidents == 250
+    same(spark, str(tmp_path), catalog.queries()["dashboard_overview_rows"], catalog.oracle_sql()["dashboard_overview_rows"])
