@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import by_bytes, dropped, id_text, written
+from .common import STEP_BYTES, by_bytes, dropped, give_back, id_text, written
 
 TRIGGERS, GROUPS = 64, 9  # group 0: no trigger yet
 #: A trigger makes at least one in so many of all words.
@@ -36,8 +36,8 @@ END = K.mix(np.array([0xE0D], K.U))[0]
 EXACT = 32
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 1, 3
-#: Distinct words that a task gathers before it hands them on.
-GATHER = 2_000_000
+#: Words with counts that a task gathers before it sums those of equal words; if over half stay, it hands them on.
+GATHER = 600_000
 BLOCKS_WITHOUT_FILES = 64
 
 
@@ -153,17 +153,22 @@ def occurrences(docs: DataFrame, contexts: Contexts) -> DataFrame:
         held: list[tuple] = []
         size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            block, word, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        def summed() -> tuple[np.ndarray, ...]:
+            block, word = (np.concatenate([x[k] for x in held]) for k in (0, 1))
             order = np.lexsort((word, block))
-            block, word, counts = block[order], word[order], counts[order]
+            block, word = block[order], word[order]
             fresh = np.ones(len(word), bool)
             fresh[1:] = (word[1:] != word[:-1]) | (block[1:] != block[:-1])
             at = np.flatnonzero(fresh)
-            sums = np.add.reduceat(counts, at, axis=0)
-            for i in range(0, len(at), 50_000):
-                j = at[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(word[j].view(np.int64)), pa.array(block[j]), *(pa.array(sums[i : i + 50_000, g]) for g in range(GROUPS))], ["w", "block", *names])
+            counts = np.concatenate([x[2] for x in held])
+            held.clear()
+            counts = counts[order]
+            return block[at], word[at], np.add.reduceat(counts, at, axis=0)
+
+        def flush(block: np.ndarray, word: np.ndarray, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(word), 50_000):
+                j = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(word[j].view(np.int64)), pa.array(block[j]), *(pa.array(sums[j, g]) for g in range(GROUPS))], ["w", "block", *names])
 
         for batch in by_bytes(batches):
             words, first = tokens(batch.column("text"))
@@ -179,10 +184,16 @@ def occurrences(docs: DataFrame, contexts: Contexts) -> DataFrame:
                 held.append((np.full(len(found), b, np.int64), found, counts))
                 size += len(found)
             if size > GATHER:
-                yield from flush()
-                held, size = [], 0
+                found = summed()
+                size = len(found[1])
+                if size > GATHER // 2:
+                    yield from flush(*found)
+                    size = 0
+                else:
+                    held.append(found)
         if held:
-            yield from flush()
+            yield from flush(*summed())
+        give_back()
 
     return docs.mapInArrow(run, "w long, block long, " + ", ".join(f"{c} long" for c in names))
 
@@ -287,6 +298,7 @@ def fit(words: DataFrame) -> tuple[Model, int]:
             for batch in batches:
                 *_, (tables, top) = model.sweeps(*matrix(batch))
                 total += np.append(tables.sum(0), top.sum())
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(GROUPS + 1)), pa.array(total)], ["g", "n"])
 
         found = dict(words.mapInArrow(run, "g long, n double").groupBy("g").agg(F.sum("n")).collect())
@@ -314,6 +326,7 @@ def probabilities(words: DataFrame, model: Model) -> DataFrame:
             p = np.column_stack(kept)
             steps = np.arange(len(word) + 1) * p.shape[1]
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(counts.sum(1)), K.list_column(p.ravel().astype(np.float32), steps), K.list_column(group.astype(np.int8), at), K.list_column((q[row, group] / SAMPLES).astype(np.float32), at)], ["w", "c", "p", "g", "q"])
+        give_back()
 
     return words.mapInArrow(run, "w long, c long, p array<float>, g array<byte>, q array<float>")
 
@@ -345,24 +358,31 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         for batch in by_bytes(batches):
             z = [pack(x.as_buffer()) for x in batch.column("text").cast(pa.large_binary())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("learn"), batch.column("block"), pa.array(z, pa.binary())], ["doc_id", "learn", "block", "packed"])
+        give_back()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         import zstandard as zstd
 
         unpack = zstd.ZstdDecompressor().decompress
+        # Nothing of a block's words is copied in their order; what a block needs at once is a table of GROUPS numbers a word.
         right = right.combine_chunks()
         flat = lambda name: right.column(name).combine_chunks() if right.num_rows else None
         word = right.column("w").to_numpy().view(K.U)
-        chance = np.tile(unknown, (len(word) + 1, 1))  # the last row: unknown words
-        count = np.zeros(len(word) + 1)
-        if len(word):
-            order = np.argsort(word)
-            chance[:-1] = np.asarray(flat("p").flatten()).reshape(len(word), -1) @ backoff
+        size = len(word)
+        chance = np.empty((size + 1, GROUPS))
+        chance[-1] = unknown  # the last row: unknown words
+        count = np.zeros(size + 1)
+        if size:
+            np.matmul(np.asarray(flat("p").flatten()).reshape(size, -1), backoff, out=chance[:-1])
             sizes = np.diff(np.asarray(flat("g").offsets))
-            chance[np.repeat(np.arange(len(word)), sizes), np.asarray(flat("g").flatten()).astype(np.int64)] = np.asarray(flat("q").flatten())
+            chance[np.repeat(np.arange(size), sizes), np.asarray(flat("g").flatten()).astype(np.int64)] = np.asarray(flat("q").flatten())
             count[:-1] = right.column("c").to_numpy()
-            word, chance, count = word[order], chance[np.append(order, len(word))], count[np.append(order, len(word))]
-        chance, simple = np.log10(np.maximum(chance, 1e-300)), np.log10((count + 1) / (n + known + 1))
+        order = np.argsort(word)
+        word = word[order]
+        del right
+        np.maximum(chance, 1e-300, out=chance)
+        np.log10(chance, out=chance)
+        simple = np.log10((count + 1) / (n + known + 1))
         rows: list[tuple] = []
         some: list[tuple] = []
         held = 0
@@ -370,20 +390,22 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         def flush() -> None:
             ids, learnt, texts = zip(*some, strict=True)
             found, first = tokens(pa.array(texts, pa.large_binary()))
-            k = np.searchsorted(word, found)
-            k = np.where(np.append(word, K.U(0))[k] == found, k, len(word)) if len(word) else np.zeros(len(found), np.int64)
-            sums = [np.add.reduceat(x, first[:-1]) for x in (simple[k], chance[k, contexts.of(found, first)], (k < len(word)).astype(np.int64))]
+            at = np.minimum(np.searchsorted(word, found), max(size - 1, 0))
+            k = np.where(word[at] == found, order[at], size) if size else np.zeros(len(found), np.int64)
+            sums = [np.add.reduceat(x, first[:-1]) for x in (simple[k], chance[k, contexts.of(found, first)], (k < size).astype(np.int64))]
             rows.extend(zip(ids, (not x for x in learnt), np.diff(first).tolist(), sums[2].tolist(), sums[0].tolist(), sums[1].tolist(), strict=True))
 
-        for i, x, z in zip(*(left.column(c).to_pylist() for c in ("doc_id", "learn", "packed")), strict=True):
+        for i, x, z in (row for batch in left.to_batches(max_chunksize=256) for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "learn", "packed")), strict=True)):
             text = unpack(z) if z else b""
             some.append((i, x, text))
             held += len(text)
-            if held > 4 << 20:
+            if held > STEP_BYTES:
                 flush()
                 some, held = [], 0
         if some:
             flush()
+        del chance, word, order, some, left
+        give_back()
         cols = list(zip(*rows, strict=True)) or [()] * 6
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]

@@ -406,6 +406,22 @@ def test_frequent_words_of_any_batches(spark, monkeypatch):
     assert {hashed(w) for w, n in some.items() if n > least} <= found[0] <= {hashed(w) for w, n in some.items() if n >= least}
 
 
+def test_gathered_words_are_summed(spark, monkeypatch):
+    """A task that meets the same words again and again holds, and hands on, one row for each of them."""
+    monkeypatch.setattr(lm, "GATHER", 100)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(30)], k=40)) for _ in range(50)]
+    docs = spark.createDataFrame([(t, 1, True) for t in texts], "text string, block long, learn boolean").coalesce(1)
+    contexts = lm.Contexts(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        got = lm.occurrences(docs, contexts).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len({r.w for r in got}) == 31
+    assert sum(r.c0 for r in got) == 50 * 41
+
+
 def test_probabilities_sum_to_one(spark, monkeypatch):
     rng = np.random.default_rng(3)
     counts = np.where(rng.random((300, lm.GROUPS)) < 0.4, rng.geometric(0.3, (300, lm.GROUPS)), 0)
