@@ -1,7 +1,8 @@
 """Quality scores by Bradley-Terry pairwise ranking.
 
-Preference pairs (a document marked good over one marked bad) train a linear score by logistic loss on the differences of
-their features. The threshold is the quantile of the training scores at the share of bad documents; a logistic curve
+All preference pairs (a document marked good over one marked bad) train a linear score by logistic loss on the differences of
+their features: rows are summed by kind in BINS of their score at each step, so that the loss of all pairs takes a pass over
+the labelled rows, not over pairs; nothing is drawn. The threshold is the quantile of all training scores at the share of bad documents; a logistic curve
 around it maps scores to 0 to 1, so that the threshold reads as CUT. Features cover whole texts and come from the text alone.
 
 Null and empty texts have the features of an empty text and a score like any other. Labels that are null, or whose document
@@ -12,7 +13,7 @@ table gives an empty result. Repeated rows and further columns change nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import by_bytes, id_text
+from .common import by_bytes, dropped, id_text, written
 
-#: Bounds of the training set: labelled rows (chosen by a hash of the id), and preference pairs drawn from them.
-SAMPLE_ROWS = 8_000
-PAIRS = 40_000
+#: Bins of scores in which pairs are counted; those of a bin stand at its mean of their kind.
+BINS = 512
 #: What the threshold reads as, after scores are mapped to 0 to 1.
 CUT = 0.3
 SCHEMA = "doc_id long, score double"
@@ -91,44 +91,121 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, penalty: float = 1e-3, steps: int = 25) -> Ranking:
-    """Newton's method on the pairwise logistic loss."""
-    if not good.any() or good.all():
-        return Ranking(np.zeros(0), np.ones(0), np.zeros(0), 0.0, 1.0, float(good.mean()) if len(good) else 0.5)
-    mean, spread = x.mean(0), x.std(0)
-    z = np.clip((x - mean) / np.where(spread > 0, spread, 1), -8, 8)
-    rng = np.random.default_rng(5)
-    d = z[rng.choice(np.flatnonzero(good), pairs)] - z[rng.choice(np.flatnonzero(~good), pairs)]
-    w = np.zeros(x.shape[1])
+def plain(good: float, rows: float) -> Ranking:
+    """Of labels of one kind, or of none."""
+    return Ranking(np.zeros(0), np.ones(0), np.zeros(0), 0.0, 1.0, good / rows if rows else 0.5)
+
+
+def binned(s: np.ndarray, z: np.ndarray, good: np.ndarray, low: float, high: float) -> np.ndarray:
+    """For each kind (bad, good) and bin of scores: number, sum of scores, sums of features and of their products."""
+    width = z.shape[1]
+    at = np.clip(((s - low) / (high - low) * BINS).astype(np.int64), 0, BINS - 1) + good * BINS
+    upper = np.triu_indices(width)
+    columns = [np.ones(len(s)), s, *z.T, *(z[:, i] * z[:, j] for i, j in zip(*upper, strict=True))]
+    return np.column_stack([np.bincount(at, c, 2 * BINS) for c in columns])
+
+
+def newton(sums: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:
+    """One step of Newton's method on the loss of all pairs of a good and a bad row, from binned sums."""
+    width = len(w)
+    n, total, first, second = sums[:, 0].reshape(2, BINS), sums[:, 1], sums[:, 2 : 2 + width].reshape(2, BINS, width), sums[:, 2 + width :].reshape(2, BINS, -1)
+    mean = (total / np.maximum(sums[:, 0], 1)).reshape(2, BINS)
+    p = 1 / (1 + np.exp(-np.clip(mean[1][:, None] - mean[0][None], -30, 30)))  # of each pair of bins, good by bad
+    pairs = n[0].sum() * n[1].sum()
+    lost, curved = 1 - p, p * (1 - p)
+    gradient = ((lost @ n[0]) @ first[1] - (lost.T @ n[1]) @ first[0]) / pairs - penalty * w
+    cross = first[1].T @ curved @ first[0]
+    upper = np.triu_indices(width)
+    own = np.zeros((width, width))
+    own[upper] = (curved @ n[0]) @ second[1] + (curved.T @ n[1]) @ second[0]
+    own = own + np.triu(own, 1).T
+    step = np.linalg.solve((own - cross - cross.T) / pairs + penalty * np.eye(width), gradient)
+    return step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
+
+
+def learnt(gather: Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray], penalty: float = 1e-3, steps: int = 25) -> Ranking:
+    """The ranking of all labelled rows and all pairs of them. gather(f) is the sum over parts of the rows of f(features, which
+    are good); each step is one, whatever the number of pairs."""
+    n, of_good, *sums = gather(lambda x, good: np.concatenate([[len(x), good.sum()], x.sum(0)]))
+    if not 0 < of_good < n:
+        return plain(of_good, n)
+    mean = np.array(sums) / n
+    spread = np.sqrt(gather(lambda x, good: ((x - mean) ** 2).sum(0)) / n)
+    spread = np.where(spread > 0, spread, 1)
+    width = len(mean)
+
+    def z(x: np.ndarray) -> np.ndarray:
+        return np.clip((x - mean) / spread, -8, 8)
+
+    moments = gather(lambda x, good: np.concatenate([z(x).sum(0), (z(x).T @ z(x)).ravel()])) / n
+    centre, product = moments[:width], moments[width:].reshape(width, width)
+    deviation = lambda w: float(np.sqrt(max(w @ product @ w - (w @ centre) ** 2, 0)))
+    w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        gradient = d.T @ (1 - p) / pairs - penalty * w
-        curve = (d * (p * (1 - p))[:, None]).T @ d / pairs + penalty * np.eye(len(w))
-        step = np.linalg.solve(curve, gradient)
-        w = w + step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-6:
+        reach = 6 * deviation(w) + 1e-9
+        low, high = w @ centre - reach, w @ centre + reach
+        step = newton(gather(lambda x, good, w=w, low=low, high=high: binned(z(x) @ w, z(x), good, low, high).ravel()).reshape(2 * BINS, -1), w, penalty)
+        w = w + step
+        if np.abs(step).max() < 1e-4:
             break
-    s = z @ w
-    return Ranking(mean, np.where(spread > 0, spread, 1), w, float(np.quantile(s, np.mean(~good))), max(float(s.std()) / 4, 1e-9))
+    place = (n - of_good) / n * (n - 1)
+    below, above = ranked(gather, lambda x: z(x) @ w, 8 * float(np.abs(w).sum()) + 1e-9, [np.floor(place), min(np.floor(place) + 1, n - 1)])
+    return Ranking(mean, spread, w, below + (above - below) * float(place - np.floor(place)), max(deviation(w) / 4, 1e-9))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Ranking:
-    """The ranking learnt from up to sample_rows labelled documents."""
+def ranked(gather, s: Callable[[np.ndarray], np.ndarray], reach: float, places: list[float]) -> list[float]:
+    """The scores at places of their order, by counts in bins that narrow to a billionth; the mean of what a last bin holds."""
+    spans = [(-reach, reach)] * len(places)
+    while max(high - low for low, high in spans) > 1e-9 * reach:
+        edges = [np.linspace(low, high, BINS + 1) for low, high in spans]
+        counts = gather(lambda x, good, edges=edges: np.concatenate([np.bincount(np.searchsorted(e, s(x)), minlength=BINS + 2) for e in edges]))
+        found = [int(np.searchsorted(np.cumsum(c), k, side="right")) for c, k in zip(counts.reshape(len(places), -1), places, strict=True)]
+        spans = [(e[max(j - 1, 0)], e[min(j, BINS)]) for e, j in zip(edges, found, strict=True)]
+    inside = lambda v: [part for low, high in spans for part in (((v > low) & (v <= high)).sum(), v[(v > low) & (v <= high)].sum())]
+    held = gather(lambda x, good: np.array(inside(s(x)), float)).reshape(-1, 2)
+    return [float(total / n) if n else float(high) for (n, total), (_, high) in zip(held, spans, strict=True)]
+
+
+def fit(x: np.ndarray, good: np.ndarray, penalty: float = 1e-3, steps: int = 25) -> Ranking:
+    """The ranking of rows at hand."""
+    return learnt(lambda f: f(x, good), penalty, steps)
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranking:
+    """The ranking learnt from all labelled documents."""
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
-    few = marked.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             x = features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("label").cast(pa.int64()), K.list_column(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], ["doc_id", "label", "x"])
-
-    # At most sample_rows ids and labels: a proven bound for the broadcast.
-    rows = id_text(docs, id_col, text_col).join(F.broadcast(few), "doc_id").select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label long, x array<double>")
-    got = {r["doc_id"]: (r["label"], r["x"]) for r in rows.dropDuplicates(["doc_id"]).collect()}
-    if not got:
-        return fit(np.zeros((0, 1)), np.zeros(0, bool))
-    order = sorted(got)
-    return fit(np.array([got[i][1] for i in order]).reshape(len(order), -1), np.array([got[i][0] == 1 for i in order], bool))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), K.list_column(x.ravel(), np.arange(len(x) + 1) * x.shape[1])], ["doc_id", "x"])
+
+    # Features, not texts, meet the labels; of unequal texts with one id the lesser features count.
+    own = id_text(docs, id_col, text_col).where("doc_id is not null").mapInArrow(run, "doc_id long, x array<double>")
+    rows = written(own.join(marked, "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.max("label").alias("label")).select("label", "x"), "labelled")
+
+    def gather(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1)
+                    found = np.asarray(f(x, batch.column("label").to_numpy() == 1), float)
+                    total = found if total is None else total + found
+            if total is not None:
+                total = total.ravel()
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(at, len(total))), pa.array(np.append(total[at], 0.0))], ["k", "v"])
+
+        found = rows.mapInArrow(part, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+        k, v = found.column("k").to_numpy(), found.column("v").to_numpy()
+        out = np.zeros(k.max() + 1 if len(k) else 3)
+        out[k] = v
+        return out[:-1]  # the last key only tells the size
+
+    ranking = learnt(gather)
+    dropped(rows)
+    return ranking
 
 
 def score(docs: DataFrame, ranking: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

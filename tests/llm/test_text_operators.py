@@ -225,3 +225,35 @@ def test_pairwise_ranking_orders_documents():
     s = ranking.score(x)
     assert np.mean((s >= quality.CUT) == good) > 0.95 and s[good].mean() > s[~good].mean()
     assert (quality.fit(x, np.ones(400, bool)).score(x) == 1).all()
+
+
+def all_pairs(x, good, penalty=1e-3):
+    """Newton's method over every pair, written out."""
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    d = (z[good][:, None] - z[~good][None]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-d @ w))
+        w = w + np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + penalty * np.eye(len(w)), d.T @ (1 - p) / len(d) - penalty * w)
+    return w, np.quantile(z @ w, np.mean(~good))
+
+
+def test_ranking_counts_all_pairs():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 4))
+    good = x @ [1, -1, 0.5, 0] + 1.5 * rng.normal(size=500) > 0.8
+    ranking, (w, threshold) = quality.fit(x, good), all_pairs(x, good)
+    assert ranking.weights == pytest.approx(w, abs=2e-3) and ranking.threshold == pytest.approx(threshold, abs=5e-3)
+    assert ranking.threshold == pytest.approx(np.quantile(ranking.raw(x), np.mean(~good)), abs=1e-6)
+
+
+def test_training_reads_all_labels(spark):
+    """More labelled documents than the 8000 of old, over several partitions: the model is that of all of them."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(["word", "Text", "a1", "x;", "other"], weights=[3, 2, 1 + i % 4, 1 + i % 3, 1], k=3 + i % 17))) for i in range(9000)]
+    marked = [(i, int((i % 4) + rng.random() * 2 < 2)) for i, _ in rows]
+    ranking = quality.train(odd(spark, rows).repartition(5), spark.createDataFrame(marked, "doc_id long, quality int"))
+    x = quality.features(pa.array([t for _, t in rows], pa.large_string()))
+    expected = quality.fit(x, np.array([m == 1 for _, m in marked]))
+    assert ranking.mean == pytest.approx(x.mean(0), rel=1e-9, abs=1e-12)
+    assert ranking.weights == pytest.approx(expected.weights, abs=1e-4) and ranking.threshold == pytest.approx(expected.threshold, abs=1e-4)
