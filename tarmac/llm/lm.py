@@ -1,6 +1,9 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Contexts: the most frequent words serve as triggers; the context of a token is the group of the last trigger before it (or
+scores() has a restaurant for each preceding word: see bigram.py, which shares the seating here. The rest of this file is a
+smaller model to compare it with, trigger_scores().
+
+Contexts of the smaller model: the most frequent words serve as triggers; the context of a token is the group of the last trigger before it (or
 none yet), triggers being grouped by which triggers follow them. Each context is a restaurant; all share one parent, the
 restaurant of words without context, whose base is uniform over the known words and one unknown. A word's customers in a
 context are its training tokens there; their tables are customers of the parent.
@@ -220,10 +223,13 @@ def seat(customers: np.ndarray, rate: np.ndarray, discount: float, table: np.nda
     """A drawn number of tables for each dish; rate: the weight of a new table."""
     tables = np.minimum(customers, 1).astype(float)
     some = np.flatnonzero(customers > 1)
-    t = np.arange(EXACT + 1)
+    size = np.minimum(customers[some], EXACT)
+    order = np.argsort(size, kind="stable")  # those of few customers together, as they need few columns
+    some, size = some[order], size[order]
     for i in range(0, len(some), 50_000):
-        at = some[i : i + 50_000]
-        weight = table[np.minimum(customers[at], EXACT)] + t * np.log(np.maximum(rate[at], 1e-300))[:, None]
+        at, c = some[i : i + 50_000], size[i : i + 50_000]
+        t = np.arange(c[-1] + 1)
+        weight = table[c, : len(t)] + t * np.log(np.maximum(rate[at], 1e-300))[:, None]
         weight = np.exp(weight - weight.max(1, keepdims=True)).cumsum(1)
         draw = uniform(word[at], place[at], sweep) * weight[:, -1]
         tables[at] = np.maximum((weight < draw[:, None]).sum(1), 1)
@@ -335,8 +341,15 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SCHEMA of every whole text of docs, by a model of the rows where learn holds (held_out: it doesn't); perplexity is the
-    text's own."""
+    """SCHEMA of every whole text of docs, by a model of the rows where learn holds (held_out: it doesn't), with a restaurant for
+    each preceding word; perplexity is the text's own."""
+    from .bigram import scores as by_words
+
+    return by_words(docs, learn, id_col, text_col)
+
+
+def trigger_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As scores, by the smaller model with groups of triggers for contexts."""
     where_from = F.when(F.input_file_name() != "", F.xxhash64(F.input_file_name(), F.input_file_block_start())).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.lit(BLOCKS_WITHOUT_FILES)))
     base = id_text(docs, id_col, text_col, F.coalesce(learn, F.lit(False)).alias("learn"), where_from.alias("block"))
     base = base.withColumn("text", F.coalesce("text", F.lit("")))
