@@ -11,9 +11,9 @@ Probabilities are averaged over the sweeps after the burn-in. Draws are hashes o
 the same again.
 
 Documents are read once, in blocks of about BLOCK tokens. A block files its distinct pairs under the bucket of the preceding
-word, buckets being ranges of the word's hash, as many as the input has BUCKET_BYTES. A bucket holds whole restaurants, and
-the words of its range as the parent's dishes. Each sweep sends, between buckets, two numbers for each distinct word of a
-bucket there and back. At the end each bucket answers every block with the probability of each of its pairs, and blocks sum
+word, buckets being ranges of the word's hash, as many as the input has BUCKET_BYTES. A bucket holds whole restaurants; the
+parent's dishes are in fewer, wider buckets. Each sweep sends, for each distinct word that follows in a bucket, its tables
+there to the parent and the parent's seating back. At the end each bucket answers every block with the probability of each of its pairs, and blocks sum
 them by document. All of it travels as packed arrays, a row for each block and bucket or pair of buckets; no table of all
 words or pairs is ever in one place. The pairs of one preceding word are held by one task.
 
@@ -36,9 +36,10 @@ from .common import by_bytes, dropped, give_back, id_text, written
 from .lm import BURN_IN, SAMPLES, SCHEMA, STRENGTH, seat, stirling, tokens
 
 BEGIN = K.mix(np.array([0xBE61], K.U))[0]
-#: Tokens of a block, and text bytes for each bucket.
+#: Tokens of a block, text bytes for each bucket, and buckets for each of the parent's.
 BLOCK = 2_000_000
 BUCKET_BYTES = 16 << 20
+BUCKETS_TO_PARENT = 8
 
 #: Rows between steps: to whom (a bucket, or a block, which is below 0), what, from whom, after which sweep, its arrays, and sums
 #: that the driver adds up.
@@ -84,6 +85,14 @@ def summed(found: np.ndarray, dtype: type) -> np.ndarray:
     return np.cumsum(found.astype(dtype), dtype=dtype)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """In order; np.unique is many times slower on large arrays, as it hashes."""
+    x = np.sort(x)
+    keep = np.ones(len(x), bool)
+    keep[1:] = x[1:] != x[:-1]
+    return x[keep]
+
+
 def bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket's hashes begin, of ascending ones."""
     own = ((hashes >> K.U(32)) * K.U(buckets)) >> K.U(32)
@@ -96,7 +105,7 @@ def rows(found: list[tuple]) -> dict[str, pa.Array]:
     return {name.split()[0]: pa.array(c, t) for name, c, t in zip(ROWS.split(", "), cols, kinds, strict=True)}
 
 
-def coded(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+def coded(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The distinct words of a block and BEGIN in order, each token's place there, and BEGIN's."""
     code, found = pd.factorize(np.append(words, BEGIN))
     order = np.argsort(found)
@@ -116,7 +125,7 @@ def pair_codes(code: np.ndarray, first: np.ndarray, begin: int, size: int) -> np
 
 def block_rows(block: int, ids: pa.Array, learn: np.ndarray, words: np.ndarray, first: np.ndarray, buckets: int) -> Iterator[tuple]:
     """A block's own tokens, and for each bucket its pairs."""
-    word, code, begin = coded(words, first)
+    word, code, begin = coded(words)
     size = len(word)
     valid = np.asarray(ids.is_valid())
     yield block, STREAM, 0, 0, pack(np.asarray(ids.fill_null(0)).view(K.U), valid, learn, np.diff(first), np.array([size, begin]), code), []
@@ -171,9 +180,8 @@ def by_bucket(found: DataFrame, name: str, step: Callable[[int, dict], Iterator[
 
     def run(group: pa.Table) -> pa.Table:
         got: dict[tuple, dict] = {}
-        for k in range(group.num_rows):
-            kind, peer, sweep = (group.column(c)[k].as_py() for c in ("kind", "peer", "sweep"))
-            got.setdefault((kind, sweep), {})[peer] = group.column("payload")[k].as_buffer()
+        for kind, peer, sweep, payload in zip(*(group.column(c).to_pylist() for c in ("kind", "peer", "sweep")), group.column("payload"), strict=True):
+            got.setdefault((kind, sweep), {})[peer] = payload.as_buffer()
         out = pa.table(rows(list(step(group.column("bucket")[0].as_py(), got))))
         del got, group
         give_back()
@@ -194,16 +202,16 @@ def read_pairs(payload: pa.Buffer) -> tuple[np.ndarray, ...]:
     return summed(own, K.U), unigram, summed(follow, K.U), summed(pairs, np.int64), count
 
 
-def merged(buckets: int) -> Callable:
-    """All blocks' pairs of a bucket: STATE, of each block the pairs and words ASKED for, and to each bucket the WORDS of its range
-    that follow here, with their number of contexts. A block's own STREAM goes on as it is."""
+def merged(parents: int) -> Callable:
+    """All blocks' pairs of a bucket: STATE, of each block the pairs and words ASKED for, and to each of the parent's buckets the
+    WORDS of its range that follow here, with their number of contexts. A block's own STREAM goes on as it is."""
 
     def step(bucket: int, got: dict) -> Iterator[tuple]:
         if bucket < 0:
             yield bucket, STREAM, 0, 0, got[STREAM, 0][0].to_pybytes(), []
             return
         found = {block: read_pairs(x) for block, x in got.pop((PAIRS, 0)).items()}
-        own, follow = (np.unique(np.concatenate([x[k] for x in found.values()])) for k in (0, 2))
+        own, follow = (distinct(np.concatenate([x[k] for x in found.values()])) for k in (0, 2))
         unigram = np.zeros(len(own), np.int64)
         words, places, counts = {}, {}, {}
         for block in list(found):
@@ -214,7 +222,7 @@ def merged(buckets: int) -> Callable:
             places[block] = words[block][a] * len(follow) + np.searchsorted(follow, x[2])[b]
             counts[block] = x[4]
         # Pairs of held-out texts alone are asked for, but have no customers.
-        pairs = np.unique(np.concatenate(list(places.values())))
+        pairs = distinct(np.concatenate(list(places.values())))
         count = np.zeros(len(pairs), np.int64)
         for block, p in places.items():
             at = np.searchsorted(pairs, p)
@@ -222,7 +230,7 @@ def merged(buckets: int) -> Callable:
             yield bucket, ASKED, block, 0, pack(steps(words[block]), steps(at)), []
         yield bucket, STATE, 0, 0, pack(steps(own), unigram, steps(follow), steps(pairs), count), [float(x) for x in (unigram.sum(), (unigram > 0).sum(), (count == 1).sum(), (count == 2).sum())]
         seated = np.bincount(pairs[count > 0] % max(len(follow), 1), minlength=len(follow))
-        at = bounds(follow, buckets)
+        at = bounds(follow, parents)
         for b in np.flatnonzero(np.diff(at)):
             yield int(b), WORDS, bucket, 0, pack(steps(follow[at[b] : at[b + 1]])), []
             yield int(b), SEATED, bucket, 0, pack(seated[at[b] : at[b + 1]]), []
@@ -231,11 +239,11 @@ def merged(buckets: int) -> Callable:
 
 
 def parent_step(sweep: int, rate: float, discount: float) -> Callable:
-    """The parent's seating of a bucket's words, back to each bucket: PARENT (customers, tables). Before any sweep one table each."""
+    """The parent's seating of the words of one of its buckets, back to each bucket: PARENT (customers, tables). Before any sweep one table each."""
 
     def step(bucket: int, got: dict) -> Iterator[tuple]:
         hashes = {peer: summed(unpack(x)[0], K.U) for peer, x in got[WORDS, 0].items()}
-        word = np.unique(np.concatenate(list(hashes.values())))
+        word = distinct(np.concatenate(list(hashes.values())))
         place = {peer: np.searchsorted(word, x) for peer, x in hashes.items()}
         customers = np.zeros(len(word), np.int64)
         for peer, x in got[SEATED, sweep].items():
@@ -275,8 +283,8 @@ def chance(customers: np.ndarray, tables: np.ndarray, sums: np.ndarray, discount
     return (customers - discount * tables + (STRENGTH + discount * sums[1]) / (known + 1)) / (STRENGTH + sums[0])
 
 
-def seat_step(sweep: int, buckets: int, sums: np.ndarray, discount: float, parent_discount: float, known: float) -> Callable:
-    """New tables of a bucket's pairs: TABLES, and to each bucket SEATED."""
+def seat_step(sweep: int, parents: int, sums: np.ndarray, discount: float, parent_discount: float, known: float) -> Callable:
+    """New tables of a bucket's pairs: TABLES, and to each of the parent's buckets SEATED."""
 
     def step(bucket: int, got: dict) -> Iterator[tuple]:
         r = Restaurants(got[STATE, 0][0])
@@ -290,7 +298,7 @@ def seat_step(sweep: int, buckets: int, sums: np.ndarray, discount: float, paren
         new[some] = seat(r.count[some], rate, discount, stirling(discount), r.follow[after], r.own[before], sweep)
         yield bucket, TABLES, 0, sweep, pack(new), []
         seated = np.bincount(r.after, new, len(r.follow)).astype(np.int64)
-        at = bounds(r.follow, buckets)
+        at = bounds(r.follow, parents)
         for b in np.flatnonzero(np.diff(at)):
             yield int(b), SEATED, bucket, sweep, pack(seated[at[b] : at[b + 1]]), []
 
@@ -330,13 +338,17 @@ def scored(n: int, known: int) -> Callable[[pa.Table], pa.Table]:
         ids, valid, learn, sizes, (size, begin), code = stream
         q, count = (np.concatenate([found[b][k] for b in sorted(found)]) for k in (0, 1))
         first = np.append(0, np.cumsum(sizes))
-        _, place = np.unique(pair_codes(code, first, int(begin), int(size)), return_inverse=True)
+        pairs = pair_codes(code, first, int(begin), int(size))
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        place = np.empty(len(pairs), np.int64)
+        place[order] = np.cumsum(np.diff(pairs, prepend=-1) != 0) - 1
         token = np.log10(np.maximum(q.astype(float), 1e-300))[place]
         score = np.add.reduceat(token, first[:-1])
         base = np.add.reduceat(np.log10((count + 1) / (n + known + 1))[code], first[:-1])
         hits = np.add.reduceat((count > 0).astype(np.int64)[code], first[:-1])
         out = [pa.array(ids.astype(K.U).view(np.int64), mask=valid == 0), pa.array(learn == 0), pa.array(sizes), pa.array(hits), pa.array(np.full(len(sizes), n)), pa.array(base), pa.array(score), pa.array(10.0 ** (-score / sizes))]
-        del stream, found, place, token, code, group
+        del stream, found, pairs, order, place, token, code, group
         give_back()
         return pa.table(out, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -348,10 +360,11 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     text's own."""
     base = id_text(docs, id_col, text_col, F.coalesce(learn, F.lit(False)).alias("learn"))
     buckets = 1 + (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    parents = 1 + (buckets - 1) // BUCKETS_TO_PARENT
     share = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.1, 0.95))
     of = lambda found, *kinds: found.where(F.col("kind").isin(*kinds))
 
-    state = by_bucket(counted(base, buckets), "state", merged(buckets))
+    state = by_bucket(counted(base, buckets), "state", merged(parents))
     n, known, once, twice = total(state, STATE)
     discount = share(once, twice)
     parent = by_bucket(of(state, WORDS, SEATED), "parent", parent_step(0, 0.0, 0.0))
@@ -361,7 +374,7 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     for sweep in range(1, BURN_IN + SAMPLES + 1):
         before = of(state, STATE).unionByName(parent)
         before = before if tables is None else before.unionByName(of(tables, TABLES))
-        seated = by_bucket(before, "tables", seat_step(sweep, buckets, sums, discount, parent_discount, known))
+        seated = by_bucket(before, "tables", seat_step(sweep, parents, sums, discount, parent_discount, known))
         rate = (STRENGTH + parent_discount * sums[1]) / (known + 1)
         if sweep - 1 <= BURN_IN:
             dropped(parent, *([tables] if tables is not None else []))

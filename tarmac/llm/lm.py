@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ TRIGGERS, GROUPS = 64, 9  # group 0: no trigger yet
 #: A trigger makes at least one in so many of all words.
 SHARE = 4000
 END = K.mix(np.array([0xE0D], K.U))[0]
-EXACT = 32
+EXACT = 1024
 STRENGTH = 1.0
 BURN_IN, SAMPLES = 1, 3
 #: Words with counts that a task gathers before it sums those of equal words; if over half stay, it hands them on.
@@ -201,6 +202,7 @@ def occurrences(docs: DataFrame, contexts: Contexts) -> DataFrame:
     return docs.mapInArrow(run, "w long, block long, " + ", ".join(f"{c} long" for c in names))
 
 
+@lru_cache(maxsize=4)
 def stirling(discount: float) -> np.ndarray:
     """Logarithms of generalised Stirling numbers [customers, tables], to EXACT."""
     out = np.full((EXACT + 1, EXACT + 1), -np.inf)
@@ -224,11 +226,14 @@ def seat(customers: np.ndarray, rate: np.ndarray, discount: float, table: np.nda
     tables = np.minimum(customers, 1).astype(float)
     some = np.flatnonzero(customers > 1)
     size = np.minimum(customers[some], EXACT)
-    order = np.argsort(size, kind="stable")  # those of few customers together, as they need few columns
-    some, size = some[order], size[order]
-    for i in range(0, len(some), 50_000):
-        at, c = some[i : i + 50_000], size[i : i + 50_000]
-        t = np.arange(c[-1] + 1)
+    parts, top = [], 2  # those of few customers together, as they need few columns
+    while top < 2 * EXACT:
+        own = np.flatnonzero((size > top // 2) & (size <= top))
+        parts += np.array_split(own, len(own) * top // 1_600_000 + 1)
+        top *= 2
+    for own in parts:
+        at, c = some[own], size[own]
+        t = np.arange(c.max(initial=0) + 1)
         weight = table[c, : len(t)] + t * np.log(np.maximum(rate[at], 1e-300))[:, None]
         weight = np.exp(weight - weight.max(1, keepdims=True)).cumsum(1)
         draw = uniform(word[at], place[at], sweep) * weight[:, -1]
