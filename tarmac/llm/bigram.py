@@ -11,11 +11,12 @@ Probabilities are averaged over the sweeps after the burn-in. Draws are hashes o
 the same again.
 
 Documents are read once, in blocks of about BLOCK tokens. A block files its distinct pairs under the bucket of the preceding
-word, buckets being ranges of the word's hash, as many as the input has BUCKET_BYTES. A bucket holds whole restaurants; the
-parent's dishes are in fewer, wider buckets. Each sweep sends, for each distinct word that follows in a bucket, its tables
+word, buckets being ranges of the word's hash, as many as the input has BUCKET_BYTES. A bucket holds whole
+restaurants, but those of the most frequent words (of a sample, which decides nothing else) and BEGIN are spread over all
+buckets by the word that follows, and the driver adds up their totals. The parent's dishes are in fewer, wider buckets. Each sweep sends, for each distinct word that follows in a bucket, its tables
 there to the parent and the parent's seating back. At the end each bucket answers every block with the probability of each of its pairs, and blocks sum
 them by document. All of it travels as packed arrays, a row for each block and bucket or pair of buckets; no table of all
-words or pairs is ever in one place. The pairs of one preceding word are held by one task.
+words or pairs is ever in one place.
 
 Null and empty texts have one token, the end. Rows of a null id teach nothing. Without training documents every token has
 probability 1. Repeated rows and further columns change nothing. A longer text than a block is a block of its own.
@@ -33,13 +34,15 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import by_bytes, dropped, give_back, id_text, written
-from .lm import BURN_IN, SAMPLES, SCHEMA, STRENGTH, seat, stirling, tokens
+from .lm import BURN_IN, END, SAMPLES, SCHEMA, STRENGTH, seat, stirling, tokens
 
 BEGIN = K.mix(np.array([0xBE61], K.U))[0]
 #: Tokens of a block, text bytes for each bucket, and buckets for each of the parent's.
 BLOCK = 2_000_000
 BUCKET_BYTES = 16 << 20
 BUCKETS_TO_PARENT = 8
+#: Restaurants that are spread are those of words that make one in so many of a sample of so many text bytes, so many at most.
+SPREAD_SHARE, SPREAD_BYTES, SPREAD = 4000, 16 << 20, 64
 
 #: Rows between steps: to whom (a bucket, or a block, which is below 0), what, from whom, after which sweep, its arrays, and sums
 #: that the driver adds up.
@@ -123,12 +126,44 @@ def pair_codes(code: np.ndarray, first: np.ndarray, begin: int, size: int) -> np
     return before * size + code
 
 
-def block_rows(block: int, ids: pa.Array, learn: np.ndarray, words: np.ndarray, first: np.ndarray, buckets: int) -> Iterator[tuple]:
+def spread_words(docs: DataFrame, size: int) -> np.ndarray:
+    """The words whose restaurants are spread over the buckets; size: text bytes of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            words, _ = tokens(batch.column("text"))
+            found, n = np.unique(words[words != END], return_counts=True)
+            some = n * SPREAD_SHARE >= n.sum()
+            yield pa.RecordBatch.from_arrays([pa.array(found[some].view(np.int64)), pa.array(n[some])], ["w", "n"])
+
+    sample = docs.select("text").sample(min(1.0, SPREAD_BYTES / max(size, 1)), 5)
+    found = sample.mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(SPREAD).collect()
+    return np.sort(np.append(np.array([r["w"] for r in found], np.int64).view(K.U), BEGIN))
+
+
+def dealt(pairs: np.ndarray, size: int, at: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's pairs by bucket, those of spread restaurants last in each, and where each bucket's begin. at: where its words
+    begin; spread: places of words."""
+    buckets = len(at) - 1
+    own = np.repeat(np.arange(buckets), np.diff(at))
+    before, after = np.divmod(pairs, size)
+    late = np.zeros(size, bool)
+    late[spread] = True
+    late = late[before]
+    key = (own[np.where(late, after, before)] * 2 + late).astype(np.uint16 if buckets < 1 << 15 else np.int64)
+    order = np.argsort(key, kind="stable")
+    return order, np.searchsorted(key[order], np.arange(buckets + 1) * 2)
+
+
+def block_rows(block: int, ids: pa.Array, learn: np.ndarray, words: np.ndarray, first: np.ndarray, buckets: int, spread: np.ndarray) -> Iterator[tuple]:
     """A block's own tokens, and for each bucket its pairs."""
     word, code, begin = coded(words)
     size = len(word)
     valid = np.asarray(ids.is_valid())
-    yield block, STREAM, 0, 0, pack(np.asarray(ids.fill_null(0)).view(K.U), valid, learn, np.diff(first), np.array([size, begin]), code), []
+    at = bounds(word, buckets)
+    some = np.flatnonzero(np.isin(spread, word))
+    late = np.searchsorted(word, spread[some])
+    yield block, STREAM, 0, 0, pack(np.asarray(ids.fill_null(0)).view(K.U), valid, learn, np.diff(first), np.array([size, begin]), at, late, code), []
     taught = np.repeat(learn, np.diff(first))
     unigram = np.bincount(code[taught], minlength=size)
     pairs = np.sort(pair_codes(code, first, begin, size) * 2 + taught)
@@ -136,16 +171,19 @@ def block_rows(block: int, ids: pa.Array, learn: np.ndarray, words: np.ndarray,
     pairs >>= 1
     fresh = np.flatnonzero(np.diff(pairs, prepend=-1))
     pairs, count = pairs[fresh], np.add.reduceat(taught, fresh)
-    at = bounds(word, buckets)
-    cut = np.searchsorted(pairs, at * size)
+    order, cut = dealt(pairs, size, at, late)
+    pairs, count = pairs[order], count[order]
+    rank = np.zeros(size, np.int64)
+    rank[late] = some + 1
     for b in np.flatnonzero(np.diff(at)):
-        mine = pairs[cut[b] : cut[b + 1]] - at[b] * size
-        before, after = np.divmod(mine, size)
+        mine = slice(cut[b], cut[b + 1])
+        before, after = np.divmod(pairs[mine], size)
+        before = np.where(rank[before] > 0, at[b + 1] - at[b] + rank[before] - 1, before - at[b])
         follow, after = np.unique(after, return_inverse=True)
-        yield int(b), PAIRS, block, 0, pack(steps(word[at[b] : at[b + 1]]), unigram[at[b] : at[b + 1]], steps(word[follow]), steps(before * len(follow) + after), count[cut[b] : cut[b + 1]]), []
+        yield int(b), PAIRS, block, 0, pack(steps(word[at[b] : at[b + 1]]), unigram[at[b] : at[b + 1]], steps(word[follow]), steps(before * len(follow) + after), count[mine]), []
 
 
-def counted(docs: DataFrame, buckets: int) -> DataFrame:
+def counted(docs: DataFrame, buckets: int, spread: np.ndarray) -> DataFrame:
     """STREAM and PAIRS of the blocks of docs(doc_id, text, learn)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +195,7 @@ def counted(docs: DataFrame, buckets: int) -> DataFrame:
             words, counts, learn = (np.concatenate([x[k] for x in held]) for k in range(3))
             ids = pa.concat_arrays([x[3] for x in held])
             held.clear()
-            for row in block_rows(block, ids, learn, words, np.append(0, np.cumsum(counts)), buckets):
+            for row in block_rows(block, ids, learn, words, np.append(0, np.cumsum(counts)), buckets, spread):
                 yield pa.RecordBatch.from_pydict(rows([row]))
 
         for batch in by_bytes(batches):
@@ -197,12 +235,13 @@ def total(found: DataFrame, kind: int) -> np.ndarray:
 
 
 def read_pairs(payload: pa.Buffer) -> tuple[np.ndarray, ...]:
-    """(words of the bucket, their training tokens, words that follow, pairs, their training tokens)."""
+    """(words of the bucket, their training tokens, words that follow, pairs, their training tokens). A pair is the place of the
+    preceding word, spread ones coming after those of the bucket, times the number of words that follow, plus the other's."""
     own, unigram, follow, pairs, count = unpack(payload)
     return summed(own, K.U), unigram, summed(follow, K.U), summed(pairs, np.int64), count
 
 
-def merged(parents: int) -> Callable:
+def merged(parents: int, spread: np.ndarray) -> Callable:
     """All blocks' pairs of a bucket: STATE, of each block the pairs and words ASKED for, and to each of the parent's buckets the
     WORDS of its range that follow here, with their number of contexts. A block's own STREAM goes on as it is."""
 
@@ -219,7 +258,7 @@ def merged(parents: int) -> Callable:
             words[block] = np.searchsorted(own, x[0])
             unigram[words[block]] += x[1]
             a, b = np.divmod(x[3], max(len(x[2]), 1))
-            places[block] = words[block][a] * len(follow) + np.searchsorted(follow, x[2])[b]
+            places[block] = np.append(words[block], len(own) + np.arange(len(spread)))[a] * len(follow) + np.searchsorted(follow, x[2])[b]
             counts[block] = x[4]
         # Pairs of held-out texts alone are asked for, but have no customers.
         pairs = distinct(np.concatenate(list(places.values())))
@@ -228,7 +267,8 @@ def merged(parents: int) -> Callable:
             at = np.searchsorted(pairs, p)
             count[at] += counts[block]
             yield bucket, ASKED, block, 0, pack(steps(words[block]), steps(at)), []
-        yield bucket, STATE, 0, 0, pack(steps(own), unigram, steps(follow), steps(pairs), count), [float(x) for x in (unigram.sum(), (unigram > 0).sum(), (count == 1).sum(), (count == 2).sum())]
+        late = [np.bincount(pairs // max(len(follow), 1), x, len(own) + len(spread))[len(own) :] for x in (count, count > 0)]
+        yield bucket, STATE, 0, 0, pack(steps(own), unigram, steps(follow), steps(pairs), count), [float(x) for x in (unigram.sum(), (unigram > 0).sum(), (count == 1).sum(), (count == 2).sum(), *late[0], *late[1])]
         seated = np.bincount(pairs[count > 0] % max(len(follow), 1), minlength=len(follow))
         at = bounds(follow, parents)
         for b in np.flatnonzero(np.diff(at)):
@@ -261,15 +301,19 @@ def parent_step(sweep: int, rate: float, discount: float) -> Callable:
 
 
 class Restaurants:
-    """A bucket's restaurants as merged() made them."""
+    """A bucket's restaurants as merged() made them, and its part of the spread ones."""
 
-    def __init__(self, payload: pa.Buffer):
-        self.own, self.unigram, self.follow, self.pairs, self.count = read_pairs(payload)
+    def __init__(self, payload: pa.Buffer, spread: np.ndarray):
+        own, self.unigram, self.follow, self.pairs, self.count = read_pairs(payload)
         self.before, self.after = np.divmod(self.pairs, max(len(self.follow), 1))
-        self.customers = self.totals(self.count)
+        self.home, self.own = len(own), np.append(own, spread)
 
-    def totals(self, of_pairs: np.ndarray) -> np.ndarray:
-        return np.bincount(self.before, of_pairs, len(self.own))
+    def totals(self, of_pairs: np.ndarray, spread: np.ndarray | None = None) -> np.ndarray:
+        """Of each restaurant; spread: those of the spread ones in all buckets, else of their part here."""
+        out = np.bincount(self.before, of_pairs, len(self.own))
+        if spread is not None:
+            out[self.home :] = spread
+        return out
 
 
 def parent_of(got: dict, sweep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,20 +327,20 @@ def chance(customers: np.ndarray, tables: np.ndarray, sums: np.ndarray, discount
     return (customers - discount * tables + (STRENGTH + discount * sums[1]) / (known + 1)) / (STRENGTH + sums[0])
 
 
-def seat_step(sweep: int, parents: int, sums: np.ndarray, discount: float, parent_discount: float, known: float) -> Callable:
+def seat_step(sweep: int, parents: int, sums: np.ndarray, discount: float, parent_discount: float, known: float, spread: np.ndarray, spread_tables: np.ndarray) -> Callable:
     """New tables of a bucket's pairs: TABLES, and to each of the parent's buckets SEATED."""
 
     def step(bucket: int, got: dict) -> Iterator[tuple]:
-        r = Restaurants(got[STATE, 0][0])
+        r = Restaurants(got[STATE, 0][0], spread)
         new = np.minimum(r.count, 1)  # a single customer sits at one table
         old = unpack(got[TABLES, sweep - 1][0])[0] if sweep > 1 else new.copy()
         customers, tables = parent_of(got, sweep - 1)
         some = np.flatnonzero(r.count > 1)
         before, after, mine = r.before[some], r.after[some], old[some]
         others = customers[after] - mine
-        rate = (STRENGTH + discount * (r.totals(old)[before] - mine)) * chance(others, np.minimum(tables[after], others), sums, parent_discount, known)
+        rate = (STRENGTH + discount * (r.totals(old, spread_tables)[before] - mine)) * chance(others, np.minimum(tables[after], others), sums, parent_discount, known)
         new[some] = seat(r.count[some], rate, discount, stirling(discount), r.follow[after], r.own[before], sweep)
-        yield bucket, TABLES, 0, sweep, pack(new), []
+        yield bucket, TABLES, 0, sweep, pack(new), r.totals(new)[r.home :].tolist()
         seated = np.bincount(r.after, new, len(r.follow)).astype(np.int64)
         at = bounds(r.follow, parents)
         for b in np.flatnonzero(np.diff(at)):
@@ -305,17 +349,18 @@ def seat_step(sweep: int, parents: int, sums: np.ndarray, discount: float, paren
     return step
 
 
-def answers(sums: dict[int, np.ndarray], discount: float, parent_discount: float, known: float) -> Callable:
+def answers(sums: dict[int, tuple], discount: float, parent_discount: float, known: float, spread: np.ndarray, spread_customers: np.ndarray) -> Callable:
     """To each block ANSWER: its pairs' probabilities, and the training tokens of its words."""
 
     def step(bucket: int, got: dict) -> Iterator[tuple]:
-        r = Restaurants(got[STATE, 0][0])
+        r = Restaurants(got[STATE, 0][0], spread)
+        customers = STRENGTH + r.totals(r.count, spread_customers)
         q = np.zeros(len(r.pairs))
-        for sweep, both in sums.items():
+        for sweep, (both, spread_tables) in sums.items():
             tables = unpack(got[TABLES, sweep][0])[0]
             parent = chance(*parent_of(got, sweep), both, parent_discount, known)
-            left = STRENGTH + discount * r.totals(tables)
-            q += (r.count - discount * tables + left[r.before] * parent[r.after]) / (STRENGTH + r.customers[r.before])
+            left = STRENGTH + discount * r.totals(tables, spread_tables)
+            q += (r.count - discount * tables + left[r.before] * parent[r.after]) / customers[r.before]
         q = (q / len(sums)).astype(np.float32)
         for block, x in got[ASKED, 0].items():
             words, pairs = unpack(x)
@@ -335,20 +380,23 @@ def scored(n: int, known: int) -> Callable[[pa.Table], pa.Table]:
                 stream = unpack(payload)
             else:
                 found[group.column("peer")[k].as_py()] = unpack(payload)
-        ids, valid, learn, sizes, (size, begin), code = stream
+        ids, valid, learn, sizes, (size, begin), at, late, code = stream
         q, count = (np.concatenate([found[b][k] for b in sorted(found)]) for k in (0, 1))
         first = np.append(0, np.cumsum(sizes))
         pairs = pair_codes(code, first, int(begin), int(size))
         order = np.argsort(pairs)
         pairs = pairs[order]
+        fresh = np.diff(pairs, prepend=-1) != 0
         place = np.empty(len(pairs), np.int64)
-        place[order] = np.cumsum(np.diff(pairs, prepend=-1) != 0) - 1
-        token = np.log10(np.maximum(q.astype(float), 1e-300))[place]
+        place[order] = np.cumsum(fresh) - 1
+        token = np.empty(len(q))
+        token[dealt(pairs[fresh], int(size), at, late)[0]] = np.log10(np.maximum(q.astype(float), 1e-300))
+        token = token[place]
         score = np.add.reduceat(token, first[:-1])
         base = np.add.reduceat(np.log10((count + 1) / (n + known + 1))[code], first[:-1])
         hits = np.add.reduceat((count > 0).astype(np.int64)[code], first[:-1])
         out = [pa.array(ids.astype(K.U).view(np.int64), mask=valid == 0), pa.array(learn == 0), pa.array(sizes), pa.array(hits), pa.array(np.full(len(sizes), n)), pa.array(base), pa.array(score), pa.array(10.0 ** (-score / sizes))]
-        del stream, found, pairs, order, place, token, code, group
+        del stream, found, pairs, order, fresh, place, token, code, group
         give_back()
         return pa.table(out, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -359,13 +407,16 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """SCHEMA of every whole text of docs, by a model of the rows where learn holds (held_out: it doesn't); perplexity is the
     text's own."""
     base = id_text(docs, id_col, text_col, F.coalesce(learn, F.lit(False)).alias("learn"))
-    buckets = 1 + (base.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES
+    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = 1 + size // BUCKET_BYTES
     parents = 1 + (buckets - 1) // BUCKETS_TO_PARENT
     share = lambda a, b: float(np.clip(a / max(a + 2 * b, 1), 0.1, 0.95))
     of = lambda found, *kinds: found.where(F.col("kind").isin(*kinds))
 
-    state = by_bucket(counted(base, buckets), "state", merged(parents))
-    n, known, once, twice = total(state, STATE)
+    spread = spread_words(base, size)
+    state = by_bucket(counted(base, buckets, spread), "state", merged(parents, spread))
+    n, known, once, twice, *late = total(state, STATE)
+    spread_customers, spread_tables = np.array(late[: len(late) // 2]), np.array(late[len(late) // 2 :])
     discount = share(once, twice)
     parent = by_bucket(of(state, WORDS, SEATED), "parent", parent_step(0, 0.0, 0.0))
     sums = total(parent, PARENT)
@@ -374,18 +425,19 @@ def scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     for sweep in range(1, BURN_IN + SAMPLES + 1):
         before = of(state, STATE).unionByName(parent)
         before = before if tables is None else before.unionByName(of(tables, TABLES))
-        seated = by_bucket(before, "tables", seat_step(sweep, parents, sums, discount, parent_discount, known))
+        seated = by_bucket(before, "tables", seat_step(sweep, parents, sums, discount, parent_discount, known, spread, spread_tables))
+        spread_tables = total(seated, TABLES)
         rate = (STRENGTH + parent_discount * sums[1]) / (known + 1)
         if sweep - 1 <= BURN_IN:
             dropped(parent, *([tables] if tables is not None else []))
         tables, parent = seated, by_bucket(of(state, WORDS).unionByName(of(seated, SEATED)), "parent", parent_step(sweep, rate, parent_discount))
         sums = total(parent, PARENT)
         if sweep > BURN_IN:
-            kept[sweep] = (tables, parent, sums)
+            kept[sweep] = (tables, parent, (sums, spread_tables))
     asked = of(state, ASKED, STATE)
     for t, p, _ in kept.values():
         asked = asked.unionByName(of(t, TABLES)).unionByName(p)
-    answered = by_bucket(asked, "answers", answers({k: s for k, (_, _, s) in kept.items()}, discount, parent_discount, known))
+    answered = by_bucket(asked, "answers", answers({k: s for k, (_, _, s) in kept.items()}, discount, parent_discount, known, spread, spread_customers))
     for kind in (STATE, ASKED, WORDS, SEATED):
         part = of(state, kind)
         part.written_to = f"{state.written_to}/kind={kind}"

@@ -102,3 +102,12 @@ def test_below_the_perplexity_of_triggers(spark, sf_dir):
     docs, learn = spark.read.parquet(f"{sf_dir}/documents.parquet"), ~in_fold("doc_id", 7, 2)
     found = [lm.held_out_perplexity(f(docs, learn)) for f in (lm.scores, lm.trigger_scores)]
     assert found[0] < 0.9 * found[1]
+
+
+def test_common_restaurants_are_spread():
+    """What follows the commonest word doesn't lie in one bucket, and answers in order find their pairs again."""
+    words, size = np.array(hashes(" ".join(f"the w{k}" for k in range(2000))), np.uint64), 8
+    spread = np.sort(np.array([hashes("the")[0], bigram.BEGIN], np.uint64))
+    found = list(bigram.block_rows(-1, pa.array([7]), np.array([True]), words, np.array([0, len(words)]), size, spread))
+    most = [len(bigram.read_pairs(pa.py_buffer(r[4]))[3]) for r in found if r[1] == bigram.PAIRS]
+    assert sum(most) == len({*zip(words, words[1:]), (0, words[0])}) and max(most) < 0.25 * sum(most)
